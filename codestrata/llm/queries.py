@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.leakage import leaked_passages, without_passages
+from codestrata.llm.packing import pack, token_counts, tokenizer_path
 from codestrata.llm.spans import shared_coverage, shared_pairs, shared_windows
 from codestrata.sources.scratch import Scratch
 from codestrata.sources.tables import read_table
@@ -34,6 +35,29 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    sizes = scratch.save(token_counts(docs, tokenizer_path()))
+    return pack(sizes, read_table(spark, sf_dir, "context_windows"), scratch)
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its bin, for each context window."""
+    return _packing(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per context window: bins, tokens, and the share of room left unused."""
+    windows = read_table(spark, sf_dir, "context_windows")
+    bins = _packing(spark, sf_dir).groupBy("window_name", "bin").agg(F.sum("n_tokens").alias("fill"))
+    per = bins.groupBy("window_name").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("fill").alias("n_tokens"))
+    return per.join(F.broadcast(windows), "window_name").select(
+        "window_name", "n_bins", "n_tokens",
+        F.round(1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("unused_share"),
+    )
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return shared_windows(read_table(spark, sf_dir, "documents", "doc_id", "text"), Scratch(spark, "spans"))
 
@@ -48,7 +72,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_coverage(*_windows(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
 
 _GRAMS = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
