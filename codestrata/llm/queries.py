@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.llm.docpairs import function_documentation
 from codestrata.llm.leakage import leaked_passages, without_passages
 from codestrata.llm.packing import pack, token_counts, tokenizer_path
 from codestrata.llm.spans import shared_coverage, shared_pairs, shared_windows
@@ -35,6 +36,27 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
+    pairs = function_documentation(files).where("not trivial")
+    functions = read_table(
+        spark, sf_dir, "function_definitions", "file_id", "qualified_name", "start_line", "function_name", "signature"
+    ).distinct()
+    return functions.join(pairs, ["file_id", "start_line", "function_name"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded functions with a documentation comment that says something."""
+    return _documented(spark, sf_dir).select("file_id", "qualified_name", "start_line").distinct()
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature and description of each documented function."""
+    return _documented(spark, sf_dir).select(
+        "file_id", "qualified_name", "start_line", "signature", "documentation", "n_words"
+    )
+
+
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "packing")
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -72,7 +94,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_coverage(*_windows(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_pairs, p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
 
 _GRAMS = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
