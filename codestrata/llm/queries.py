@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from codestrata.llm.docpairs import function_documentation
 from codestrata.llm.leakage import leaked_passages, without_passages
 from codestrata.llm.packing import pack, token_counts, tokenizer_path
+from codestrata.llm.provenance import not_hand_written
 from codestrata.llm.spans import shared_coverage, shared_pairs, shared_windows
+from codestrata.llm.syntax import extension_of, language_of, reports_bad_content, syntax_repairs
+from codestrata.operators.merge import latest
 from codestrata.sources.scratch import Scratch
 from codestrata.sources.tables import read_table
 
@@ -36,6 +39,59 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _not_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["id", "repository_id", "relative_path", "extension", "size_bytes", "sha256", "scan_status", "updated_at"]
+    files = latest(read_table(spark, sf_dir, "repository_files", *cols), ["id"])
+    sources = read_table(spark, sf_dir, "source_files", "file_id", "repository_id", "relative_path", "source")
+    return not_hand_written(files, sources, Scratch(spark, "provenance"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code files that were generated, minified, vendored, or are data."""
+    return _not_hand_written(spark, sf_dir).select("file_id").distinct()
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository and reason: the files that nobody wrote by hand."""
+    found = _not_hand_written(spark, sf_dir)
+    return found.groupBy("repository_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, broken, kind) of the files with a text at hand or else a job."""
+    sources = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
+    parsed = syntax_repairs(sources, Scratch(spark, "syntax")).select("file_id", (F.col("edits") > 0).alias("broken"), "kind")
+    jobs = latest(read_table(spark, sf_dir, "file_parse_jobs", "file_id", "error_message", "updated_at"), ["file_id"])
+    reported = jobs.join(sources.select("file_id"), "file_id", "left_anti").select(
+        "file_id", reports_bad_content(F.col("error_message")).alias("broken"), F.lit("reported").alias("kind")
+    )
+    return parsed.unionByName(reported)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are invalid in the language of their extension."""
+    return _broken_files(spark, sf_dir).where("broken").select("file_id").distinct()
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair cost and kind of damage of every file with a text."""
+    sources = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
+    return syntax_repairs(sources, Scratch(spark, "syntax"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository and language of the extension: files checked, broken files and their share."""
+    files = latest(read_table(spark, sf_dir, "repository_files", "id", "repository_id", "relative_path", "updated_at"), ["id"])
+    known = files.select(
+        F.col("id").alias("file_id"), "repository_id", language_of(extension_of(F.col("relative_path"))).alias("language")
+    ).where("language is not null")
+    rows = _broken_files(spark, sf_dir).join(known, "file_id")
+    return rows.groupBy("repository_id", "language").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("broken"), 1)).alias("n_broken"),
+        F.round(F.avg(F.col("broken").cast("double")), 6).alias("broken_share"),
+    )
+
+
 def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
     pairs = function_documentation(files).where("not trivial")
@@ -94,7 +150,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_coverage(*_windows(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pairs, p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_kinds, p5_rates, p6_found, p6_pairs, p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
 
 _GRAMS = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
