@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.plans import problems
+from codestrata.plans import catalog, graph, problems
 
-_MODULES = [problems]
+_MODULES = [catalog, graph, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
