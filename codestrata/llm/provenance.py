@@ -55,6 +55,7 @@ DEFAULT_ATTRIBUTES = """
 **/dist-packages/** vendored
 **/Pods/** vendored
 **/Carthage/** vendored
+**/dist/** vendored
 **/generated/** generated
 **/__generated__/** generated
 **/autogen/** generated
