@@ -275,7 +275,7 @@ SQL = {
     "files_parseable": F_ + " SELECT id, repository_id, relative_path, language FROM f WHERE scan_status = 'SCANNED' AND language IN ('Python', 'JavaScript', 'TypeScript', 'Java', 'Go') AND NOT is_binary",
     "files_page": F_ + " SELECT id, repository_id, relative_path FROM f ORDER BY repository_id, relative_path, id LIMIT 100 OFFSET 100",
     "file_counts": F_ + " SELECT repository_id, scan_status, count(*) AS n_files FROM f GROUP BY 1, 2",
-    "human_sizes": F_ + ", s AS (SELECT id, sha256, coalesce(size_bytes, 0) AS b FROM f) SELECT id, CASE WHEN b < 1024 THEN printf('%.1f B', CAST(b AS DOUBLE)) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0) ELSE printf('%.1f GB', b / 1073741824.0) END AS size, substring(sha256, 1, 8) AS sha FROM s",
+    "human_sizes": F_ + ", s AS (SELECT id, sha256, coalesce(size_bytes, 0) AS b FROM f) SELECT id, CASE WHEN b < 1024 THEN printf('%.1f B', CAST(b AS DOUBLE)) WHEN b < 1048576 THEN printf('%.1f KB', round(b / CAST(1024.0 AS DOUBLE), 1)) WHEN b < 1073741824 THEN printf('%.1f MB', round(b / CAST(1048576.0 AS DOUBLE), 1)) ELSE printf('%.1f GB', round(b / CAST(1073741824.0 AS DOUBLE), 1)) END AS size, substring(sha256, 1, 8) AS sha FROM s",
     "job_progress": J_ + ", c AS (SELECT repository_id, count(*) FILTER (parse_status = 'QUEUED') AS queued, count(*) FILTER (parse_status = 'PARSING') AS parsing, count(*) FILTER (parse_status = 'COMPLETED') AS completed, count(*) FILTER (parse_status = 'FAILED') AS failed FROM j GROUP BY 1) SELECT *, CASE WHEN queued + parsing + completed + failed = 0 THEN 'NOT_STARTED' WHEN queued + parsing > 0 THEN 'PARSING' WHEN failed = queued + parsing + completed + failed THEN 'FAILED' ELSE 'COMPLETED' END AS overall FROM c",
     "job_sums": J_ + " SELECT repository_id, count(*) AS n_files, " + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("symbol_count", "call_count", "function_count", "class_count")) + " FROM j WHERE parse_status = 'COMPLETED' GROUP BY 1",
     "repositories_newest": R_ + ", u AS (SELECT *, regexp_replace(trim(github_url), '\\.git$', '') AS url FROM r) SELECT id, full_name, regexp_extract(url, '^https://github\\.com/([^/]+)/([^/]+)$', 1) AS owner_part, regexp_extract(url, '^https://github\\.com/([^/]+)/([^/]+)$', 2) AS name_part, regexp_matches(url, '^https://github\\.com/([^/]+)/([^/]+)$') AS is_valid, coalesce(nullif(default_branch, ''), 'main') AS branch FROM u",
