@@ -104,7 +104,7 @@ _JS_SIGNATURE = (
     r"|(?:(?:public|private|protected|static|async|get|set|readonly|abstract|override)\s+)*\*?\s*(#?[\w$]+)\??\s*(?:<[^()]*?>)?\s*\("
     r"|(?:(?:public|private|protected|static|readonly)\s+)*(#?[\w$]+)\s*(?::[^=;]+?)?=\s*(?:async\s*)?(?:function\b|\())"
 )
-_GO_DOC = r"(?:[ \t]*//[^\n]*\n)+|/\*(?s:.*?)\*/"
+_GO_DOC = r"(?://[^\n]*\n[ \t]*)*//[^\n]*|/\*(?s:.*?)\*/"
 _GO_SIGNATURE = r"func\s*(?:\([^()]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\s*\("
 
 
