@@ -2,26 +2,82 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import files as X
+from codestrata.sources.scratch import Scratch
+
+
+_LISTED = "path string, is_dir boolean, size_bytes bigint, last_modified timestamp"
+
+
+def _list_children(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each directory; ignored directories are not entered, symbolic links are skipped."""
+    ignored = set(X.IGNORED_DIRECTORIES)
+    for pdf in parts:
+        rows = []
+        for directory in pdf["path"]:
+            try:
+                entries = list(os.scandir(directory))
+            except OSError:
+                continue
+            for e in entries:
+                if e.is_symlink() or (e.is_dir() and e.name in ignored):
+                    continue
+                try:
+                    info = e.stat(follow_symlinks=False)
+                    size, at = info.st_size, pd.Timestamp(info.st_mtime, unit="s")
+                except OSError:
+                    size, at = None, None
+                rows.append((e.path, e.is_dir(), size, at))
+        out = pd.DataFrame(rows, columns=["path", "is_dir", "size_bytes", "last_modified"])
+        yield out.astype({"size_bytes": "Int64", "last_modified": "datetime64[us]"})
+
+
+def _read_bytes(paths: pd.Series) -> pd.Series:
+    def read(path: str | None) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                return f.read()
+        except (OSError, TypeError):
+            return None
+
+    return paths.map(read)
 
 
 def scan_tree(spark: SparkSession, root: str, repository_id: str, max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:
-    """One row per file below ``root``, as :func:`file_rows` describes them.
+    """One row per file below ``root`` (on a file system that all executors share), as :func:`file_rows` describes them.
 
-    Contents are read only for files of a readable size and extension: the status of all
-    others follows from their path and length.
+    Directories are listed level by level, each level spread over the executors.  Contents are read only
+    for files of a readable size and extension; the status of all others follows from path and length.
+    Spark's own file source is not used, as it passes over names that begin with a dot or an underscore.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = F.length(F.lit(root.rstrip("/"))) + 2
-    clean = F.regexp_replace("path", "^file:/*", "/")
-    listed = raw.select(
-        F.lit(repository_id).alias("repository_id"), F.substring(clean, prefix, F.length(clean)).alias("relative_path"),
-        clean.alias("absolute_path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"),
+    root = root.rstrip("/")
+    scratch = Scratch(spark, "scan")
+    level = spark.createDataFrame([(root,)], "path string")
+    found = []
+    for _ in range(X.MAX_DEPTH + 1):
+        # a directory is little data and much waiting: one task for every few of them
+        listed = scratch.save(level.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_list_children, _LISTED))
+        found.append(listed.where("not is_dir"))
+        level = listed.where("is_dir").select("path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, found)
+    clean = F.col("path")
+    read = F.pandas_udf(_read_bytes, "binary")
+    wanted = (F.col("size_bytes") <= max_bytes) & ~X.extension(X.file_name(clean)).isin(X.IGNORED_EXTENSIONS)
+    rows = files.select(
+        F.lit(repository_id).alias("repository_id"), F.substring(clean, len(root) + 2, 1 << 20).alias("relative_path"),
+        clean.alias("absolute_path"), read(F.when(wanted, clean)).alias("content"), "size_bytes", "last_modified",
     )
-    return file_rows(listed, max_bytes)
+    return file_rows(rows, max_bytes)
 
 
 def file_rows(listed: DataFrame, max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:

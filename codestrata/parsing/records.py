@@ -65,8 +65,12 @@ def source_lines(sources: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("line", F.col("line") + 1)
     python = F.col("language") == "Python"
-    bare = F.regexp_replace(F.col("text"), r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'", '""')
-    bare = F.when(python, F.regexp_replace(F.col("text"), r"#[^'\"]*$", "")).otherwise(F.regexp_replace(bare, r"//.*$", ""))
+    # possessive, so that a long string costs no stack
+    bare = F.regexp_replace(F.col("text"), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|' + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", '""')
+    # Python: single quotes only, as triple ones are counted below
+    plain = "|".join(rf"(?<!{q}){q}(?!{q})[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}(?!{q})" for q in "\"'")
+    python_bare = F.regexp_replace(F.regexp_replace(F.col("text"), plain, "_s_"), r"#.*$", "")
+    bare = F.when(python, python_bare).otherwise(F.regexp_replace(bare, r"//.*$", ""))
     count = lambda c, rx: F.size(F.split(c, rx)) - 1
     rows = rows.withColumn("_bare", bare)
     quotes = count(F.col("_bare"), r"\"\"\"|'''")

@@ -175,7 +175,7 @@ def entry_flags(spark, sf_dir):
     return entries(spark, sf_dir).select(
         "id", N.last_segment(q).alias("short"), N.display_name(q).alias("display"), N.module_prefix(q, n).alias("module"),
         N.parent_name(q).alias("parent"), (F.col("visibility") == "public").alias("is_exported"), N.is_deprecated(F.col("documentation")).alias("is_deprecated"),
-        F.length(F.substring("documentation", 1, 500)).cast("bigint").alias("doc_chars"), N.node_label(F.col("symbol_type")).alias("label"),
+        F.coalesce(F.length(F.substring("documentation", 1, 500)), F.lit(0)).cast("bigint").alias("doc_chars"), N.node_label(F.col("symbol_type")).alias("label"),
     )
 
 
@@ -287,7 +287,7 @@ SQL = {
     "search_qualified": E_ + _SEARCH.format("lower(qualified_name) LIKE '%ledger%' AND symbol_type = 'method'"),
     "children": E_ + " SELECT p.name AS parent, c.name, c.id FROM e c JOIN e p ON c.parent_symbol_id = p.id",
     "entry_counts": E_ + " SELECT repository_id, language, symbol_type, count(*) AS n_entries FROM e GROUP BY 1, 2, 3",
-    "entry_flags": E_ + f" SELECT id, string_split(qualified_name, '.')[-1] AS short, {_DISPLAY} AS display, CASE WHEN qualified_name <> name AND ends_with(qualified_name, '.' || name) THEN substring(qualified_name, 1, length(qualified_name) - length(name) - 1) END AS module, {_PARENT} AS parent, visibility = 'public' AS is_exported, coalesce(documentation LIKE '%deprecated%' OR documentation LIKE '%DEPRECATED%' OR documentation LIKE '%@Deprecated%', false) AS is_deprecated, CAST(length(substring(documentation, 1, 500)) AS BIGINT) AS doc_chars, " + _case("\n".join(f"{b}: {a}" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())), "symbol_type", "Variable") + " AS label FROM e",
+    "entry_flags": E_ + f" SELECT id, string_split(qualified_name, '.')[-1] AS short, {_DISPLAY} AS display, CASE WHEN qualified_name <> name AND ends_with(qualified_name, '.' || name) THEN substring(qualified_name, 1, length(qualified_name) - length(name) - 1) END AS module, {_PARENT} AS parent, visibility = 'public' AS is_exported, coalesce(documentation LIKE '%deprecated%' OR documentation LIKE '%DEPRECATED%' OR documentation LIKE '%@Deprecated%', false) AS is_deprecated, CAST(coalesce(length(substring(documentation, 1, 500)), 0) AS BIGINT) AS doc_chars, " + _case("\n".join(f"{b}: {a}" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())), "symbol_type", "Variable") + " AS label FROM e",
     "names_normalised": r"SELECT DISTINCT caller_name, regexp_replace(regexp_replace(regexp_replace(caller_name, '^\s+|\s+$', '', 'g'), '^\.+|\.+$', '', 'g'), '\.{2,}', '.', 'g') AS normal, regexp_matches(regexp_replace(caller_name, '^\s+|\s+$', '', 'g'), '^[\p{L}\p{N}_.\-/()*]+$') AS is_valid FROM calls WHERE caller_name IS NOT NULL",
     "modules": F_ + r", s AS (SELECT id, language, regexp_replace(relative_path, '([^/])\.[^./]*$', '\1') AS stem FROM f WHERE relative_path NOT LIKE '%\%' AND language IS NOT NULL) SELECT id, CASE WHEN lower(language) = 'go' THEN stem ELSE array_to_string(list_filter(string_split(stem, '/'), lambda p: p <> '' AND p <> '.'), '.') END AS module FROM s",
     "dedup_documents": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text",

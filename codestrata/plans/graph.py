@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from codestrata.functions import names as N
 from codestrata.operators import graph_build as B
 from codestrata.operators import graph_query as G
+from codestrata.operators import index as I
 from codestrata.operators import scan as S
 from codestrata.operators import traverse as T
 from codestrata.parsing import records as P
-from codestrata.plans.catalog import current, entries, files, repositories
+from codestrata.plans.catalog import current, entries, files, jobs, repositories
 from codestrata.sources.scratch import Scratch
 from codestrata.sources.tables import read_table
 from codestrata.streaming.incremental import delete_nodes
@@ -180,15 +181,52 @@ def parsed_comments(spark, sf_dir):
 
 def parsed_import_edges(spark, sf_dir):
     """Imports of the sources resolved to symbols or packages."""
-    i = P.imports(P.source_lines(read_table(spark, sf_dir, "source_files")))
+    # extracted records are a table of their own, as every later step reads them
+    i = Scratch(spark, "imports").save(P.imports(P.source_lines(read_table(spark, sf_dir, "source_files"))))
     e = entries(spark, sf_dir)
     libs = B.library_nodes(B.external_imports(i, e))
     return B.merge_edges(B.import_edges(i, e, libs)).select("source_id", "target_id", "edge_type")
 
 
+def parsed_index(spark, sf_dir):
+    """Functions and classes of the sources as index entries, linked to their parents."""
+    scratch = Scratch(spark, "records")
+    rows = scratch.save(_declared(spark, sf_dir).where("function_name is not null or class_name is not null"))
+    null = F.lit(None).cast("string")
+    paths = read_table(spark, sf_dir, "source_files", "file_id", "relative_path")
+    fn = P.functions(rows).join(paths, "file_id").select(
+        "*", F.lit(False).alias("is_constructor"), F.lit(False).alias("is_static"), null.alias("return_type"), null.alias("documentation"),
+        F.col("start_line").alias("end_line"),
+    )
+    cl = P.classes(rows).join(paths, "file_id").select(
+        "*", F.lit("class").alias("class_kind"), F.lit("public").alias("visibility"), null.alias("documentation"), F.col("start_line").alias("end_line"),
+    )
+    linked = I.link_parents(I.index_entries(I.map_records(I.map_classes(cl), I.map_functions(fn))))
+    return linked.select("id", "repository_id", "qualified_name", "symbol_type", "language", "parent_symbol_id")
+
+
+def parsed_inherit_edges(spark, sf_dir):
+    """Bases of the classes in the sources, resolved to the entries of the parsed index."""
+    scratch = Scratch(spark, "inherits")
+    e = scratch.save(parsed_index(spark, sf_dir))
+    c = scratch.save(P.classes(_declared(spark, sf_dir)))
+    return B.merge_edges(B.inheritance_edges(c, e)).select("source_id", "target_id", "edge_type")
+
+
+def job_states(spark, sf_dir):
+    """Every repository with its index state: jobs seen, entries stored, or NOT_STARTED."""
+    r = repositories(spark, sf_dir).select(F.col("id").alias("repository_id"))
+    n = entries(spark, sf_dir).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    j = jobs(spark, sf_dir).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_jobs"))
+    return r.join(n, "repository_id", "left").join(j, "repository_id", "left").select(
+        "repository_id", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"),
+        F.when(F.coalesce("n_jobs", F.lit(0)) == 0, "NOT_STARTED").otherwise("COMPLETED").alias("state"),
+    )
+
+
 _NAMES = """node_counts contains_edges defines_edges call_edges edges_valid neighbours_both call_graph unused unused_compat orphan_classes graph_counts
 k_hop_calls expand_inherits shortest_definition cycles_calls has_cycle longest_chain induced_classes delete_incremental library_of_objects
-parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges"""
+parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _LABEL = "CASE " + " ".join(f"WHEN symbol_type = '{a}' THEN '{b}'" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())) + " ELSE 'Variable' END"
@@ -244,5 +282,9 @@ SELECT CAST(len(p) AS BIGINT) AS length, array_to_string(p, ' > ') AS path FROM
     "delete_incremental": _BASE + f""", x AS (SELECT * FROM f WHERE scan_status IN ('IGNORED', 'FAILED')),
 z AS (SELECT 'file:' || repository_id || ':' || relative_path AS id FROM x UNION SELECT e.id FROM e JOIN x ON e.file_id = x.id)
 {_ID3} FROM g WHERE source_id NOT IN (SELECT id FROM z) AND target_id NOT IN (SELECT id FROM z)""",
+    "job_states": "WITH " + current("repositories", "r") + ", " + current("symbol_index_entries", "e") + ", " + current("file_parse_jobs", "j", "file_id") + """
+, ne AS (SELECT repository_id, count(*) AS n FROM e GROUP BY 1), nj AS (SELECT repository_id, count(*) AS n FROM j GROUP BY 1)
+SELECT r.id AS repository_id, coalesce(nj.n, 0) AS n_jobs, coalesce(ne.n, 0) AS n_entries, CASE WHEN nj.n IS NULL THEN 'NOT_STARTED' ELSE 'COMPLETED' END AS state
+FROM r LEFT JOIN ne ON ne.repository_id = r.id LEFT JOIN nj ON nj.repository_id = r.id""",
     "library_of_objects": "SELECT DISTINCT callee_object, CASE WHEN callee_object LIKE '%/%' AND callee_object LIKE '%.%' THEN string_split(rtrim(callee_object, '/'), '/')[-1] ELSE regexp_extract(callee_object, '^[^./]*', 0) END AS library FROM calls WHERE callee_object IS NOT NULL",
 }
