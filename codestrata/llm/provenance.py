@@ -120,7 +120,8 @@ _COPY = re.compile(
 _NOT_A_NOTICE = re.compile(r"\b(?:method|function|constructor|catch block|class) stub\b", re.I)
 _HEAD = re.compile(r"(?:\s|﻿|#[^\n]*|//[^\n]*|/\*(?s:.*?)\*/|\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|[\"']use strict[\"'];?)*")
 _LITERAL = re.compile(r"[\"'`]([^\"'`\s]{200,})[\"'`]")
-_NUMBERS = re.compile(r"(?:-?(?:0x)?[\da-fA-F.]+[eE]?-?\d*\s*,\s*){40,}")
+# possessive and from a boundary on, so that a long run of digits is read once
+_NUMBERS = re.compile(r"(?<![\w.])(?:-?+[\dxXa-fA-F.]++(?:(?<=[eE])[-+]\d++)?+\s*+,\s*+){40,}+")
 _SOURCE_MAP = re.compile(r"(?m)^\s*(?://|/\*)[#@]\s*sourceMappingURL=")
 
 

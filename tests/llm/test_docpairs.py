@@ -59,3 +59,8 @@ def test_operator_keeps_nulls_and_broken_files_out_of_trouble(spark):
     got = function_documentation(df).collect()
     assert [(r["file_id"], r["function_name"], r["start_line"], r["trivial"]) for r in got] == [("a", "g", 4, False)]
     assert function_documentation(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_ends_early():
+    deep = f'def a():\n    """{GOOD}"""\n\ndef b(x={"(" * 5000}1{")" * 5000}):\n    pass\n'
+    assert [(n, name) for n, name, _, _ in parse_pairs("py", deep)] == [(1, "a")]

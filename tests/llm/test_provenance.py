@@ -62,6 +62,16 @@ def test_text_evidence(text, want):
     assert text_evidence(text) == want
 
 
+def test_long_texts_are_read_once():
+    import time
+
+    began = time.time()
+    assert text_evidence("X = '" + "deadbeef" * 250_000 + "'\n") == "data"
+    assert text_evidence("X = [" + "0xdeadbeef, -1.5e-3, " * 100_000 + "]\n") == "data"
+    assert text_evidence("e1" * 500_000) == "minified"
+    assert time.time() - began < 10
+
+
 def test_operator(spark):
     big = 600 * 1024
     rows = [
