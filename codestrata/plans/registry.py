@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.plans import catalog, graph, problems
+from codestrata.plans import catalog, graph, problems, records
 
-_MODULES = [catalog, graph, problems]
+_MODULES = [catalog, graph, records, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
