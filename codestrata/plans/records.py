@@ -18,11 +18,11 @@ from codestrata.streaming.incremental import delete_files
 
 
 def registrations_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repositories registered after the first half of 2023 whose address was not registered before."""
+    """Repositories registered after March 2021 whose address was not registered before."""
     r = read_table(spark, sf_dir, "repositories", "id", "github_url", "created_at")
     first = keep_first(r, ["github_url"], ["created_at", "id"])
-    known = first.where("created_at < timestamp '2023-07-01'").select("github_url")
-    return first.where("created_at >= timestamp '2023-07-01'").join(known, "github_url", "left_anti").select("id", "github_url")
+    known = first.where("created_at < timestamp '2021-04-01'").select("github_url")
+    return first.where("created_at >= timestamp '2021-04-01'").join(known, "github_url", "left_anti").select("id", "github_url")
 
 
 def delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _FD = "fd AS (SELECT DISTINCT * EXCLUDE (parameters, decorators, created_at) FROM function_definitions), g AS (SELECT fd.* FROM fd JOIN f ON fd.file_id = f.id)"
 _F = "WITH " + current("repository_files", "f")
 SQL = {
-    "registrations_new": "WITH k AS (SELECT id, github_url, created_at FROM (SELECT *, row_number() OVER (PARTITION BY github_url ORDER BY created_at, id) AS n FROM repositories) WHERE n = 1) SELECT id, github_url FROM k WHERE created_at >= TIMESTAMPTZ '2023-07-01 00:00:00+00'",
+    "registrations_new": "WITH k AS (SELECT id, github_url, created_at FROM (SELECT *, row_number() OVER (PARTITION BY github_url ORDER BY created_at, id) AS n FROM repositories) WHERE n = 1) SELECT id, github_url FROM k WHERE created_at >= TIMESTAMPTZ '2021-04-01 00:00:00+00'",
     "delete_counts": _F + ", " + _FD + ", x AS (SELECT id FROM f WHERE scan_status <> 'SCANNED' OR is_hidden OR size_bytes < 1000) SELECT repository_id, count(*) AS n_before, count(*) FILTER (file_id NOT IN (SELECT id FROM x)) AS n_left FROM g GROUP BY 1",
     "file_ages": _F + ", s AS (SELECT id, CAST(floor(epoch(TIMESTAMPTZ '2026-01-01 00:00:00+00')) - floor(epoch(updated_at)) AS BIGINT) AS s FROM f) SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age FROM s",
     "calls_distinct": "SELECT language, CAST(sum(n) AS BIGINT) AS n_calls, count(*) AS n_distinct FROM (SELECT language, file_id, caller_name, callee_name, start_line, count(*) AS n FROM calls GROUP BY ALL) GROUP BY 1",
