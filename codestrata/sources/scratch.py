@@ -35,7 +35,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/codestrata/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table; its lineage is the scan alone."""
@@ -43,8 +42,9 @@ class Scratch:
         path = f"{self.root}/{self.count:04d}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
+        if self.count == 1:  # the folder goes when the application ends
+            self._filesystem(self.root)[0].deleteOnExit(self._filesystem(self.root)[1])
         out = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
@@ -52,5 +52,10 @@ class Scratch:
         """Delete a table written by :meth:`save` that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            fs, where = self._filesystem(path)
+            fs.delete(where, True)
+
+    def _filesystem(self, path: str):
+        """(Hadoop file system, Hadoop path) of a path."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
