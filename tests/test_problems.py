@@ -165,3 +165,16 @@ def test_scratch_rounds(spark):
     b = s.save(a.where("x > 2"))
     s.drop(a)
     assert b.count() == 2
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("a", None, "x", 1, 2, 3, 4), ("b", "a", "y", 1, 2, 3, 4)], "id string, parent string, name string, n int, p int, left int, depth int")
+    assert {r["entry_id"]: r["depth"] for r in H.hierarchy(spark, df, "id", "parent", "name").collect()} == {"a": 0, "b": 1}
+    assert H.loops(spark, df, "id", "parent").count() == 0
+    rows = spark.createDataFrame([("a", 1, 9, 9), ("a", 2, 9, 9)], "key string, value int, weight int, n_rows int")
+    assert weighted_summary(compress(rows, "key", "value")).first()["n_rows"] == 2
+    refs = spark.createDataFrame([("a", _time(1), 1, 2), ("b", _time(1), 1, 2)], "key string, born timestamp, died int, at int")
+    parents = spark.createDataFrame([("a", _time(0), None)], "key string, born timestamp, died timestamp")
+    assert [r["key"] for r in orphans(refs, parents, "key", "born", 1 << 15).collect()] == ["b"]
+    tagged = spark.createDataFrame([("a", 1, "s", 5)], "id string, updated_at int, _v string, n int")
+    assert latest(tagged, ["id"]).columns == tagged.columns
