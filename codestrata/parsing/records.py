@@ -2,8 +2,9 @@
 
 The sources become a table of lines.  Declarations are found by one expression per language, and
 what a line belongs to (the enclosing class or function, an open block comment) by windows over the
-lines of its file, so Spark partitions the work by file and nothing runs in Python.  Declarations
-must stand at the beginning of a line, as formatted code has them.
+lines of its file, so Spark partitions the work by file.  Only calls are read in Python, a file at a
+time, as the object of a call has to be followed back over brackets and lines.  Declarations must
+stand at the beginning of a line, as formatted code has them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import names as N
+from codestrata.parsing import chains
 
 #: Per language: (function, class, import) expressions; groups are read by the functions below.
 _FUNCTION = {
@@ -40,7 +41,8 @@ _ROUTE = (
     r"|^\s*@(Get|Post|Put|Delete|Patch|Request)Mapping(?:\(\s*(?:value\s*=\s*)?['\"]([^'\"]*)['\"])?"
     r"|^\s*(?:app|router|r|e|group|server)\.(get|post|put|delete|patch|use|all|GET|POST|PUT|DELETE|PATCH)\(\s*['\"]([^'\"]+)['\"]"
 )
-_CALL = r"(?<![\w.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
+_METHOD_HEAD = r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*\w+\s*\("
+_ARROW_HEAD = r"^\s*(?:export\s+)?(?:const|let|var)\s+\w+\s*(?::[^=]+)?=\s*(?:async\b)?"
 _KEYWORDS = (
     "if for while switch catch return function def class func elif with assert super await yield print raise throw new and or not in is lambda del except"
 ).split()
@@ -147,17 +149,26 @@ def imports(rows: DataFrame) -> DataFrame:
 def calls(rows: DataFrame) -> DataFrame:
     """(file_id, repository_id, language, caller_name, callee_name, callee_object, start_line), repeats in a line once.
 
-    A call outside of any function has the placeholder of its language as caller.
+    A call outside of any function has the placeholder of its language as caller.  The object is the text before
+    the dot, its strings emptied; it may hold calls itself.
     """
+    code = F.col("code")
     top = F.when(F.col("language") == "Java", "<class>").when(F.col("language") == "Go", "<package>").otherwise("<module>")
-    found = rows.where("function_name is null and class_name is null and code <> ''").select(
-        "file_id", "repository_id", "language", F.col("line").alias("start_line"), F.coalesce("caller", top).alias("caller_name"),
-        F.explode(F.regexp_extract_all("code", F.lit(_CALL), 1)).alias("target"),
+    arrow = F.regexp_extract(code, _ARROW, 1) == F.col("function_name")
+    rest = F.when(arrow, F.regexp_extract(code, _ARROW_HEAD, 0)).otherwise(F.regexp_extract(code, _METHOD_HEAD, 0))
+    head = F.when(F.col("class_name").isNotNull(), _by_language(_CLASS, code, 0)).when(
+        F.col("function_name").isNotNull(), F.coalesce(_by_language(_FUNCTION, code, 0), rest)
+    )
+    line = F.struct(
+        "line", "code", F.coalesce(F.length(head), F.lit(0)).alias("head"), F.col("class_name").isNotNull().alias("is_class"),
+        F.coalesce("caller", top).alias("caller"),
     )
-    name = N.last_segment(F.col("target"))
-    return found.withColumn("callee_name", name).where(~F.col("callee_name").isin(_KEYWORDS)).select(
-        "file_id", "repository_id", "language", "caller_name", "callee_name",
-        F.nullif(F.regexp_extract("target", r"^(.*)\.[^.]*$", 1), F.lit("")).alias("callee_object"), "start_line",
+    found = F.udf(chains.calls, "array<struct<start_line int, caller_name string, callee_name string, callee_object string>>", useArrow=True)
+    files = rows.where("code <> ''").groupBy("file_id", "repository_id", "language").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    out = files.select("file_id", "repository_id", "language", F.inline(found("lines", "language")))
+    # after a dot, a keyword is a name like any other
+    return out.where(~F.col("callee_name").isin(_KEYWORDS) | F.col("callee_object").isNotNull()).select(
+        "file_id", "repository_id", "language", "caller_name", "callee_name", "callee_object", "start_line"
     ).distinct()
 
 
