@@ -110,8 +110,14 @@ def _lookup(key: Column, pairs: dict[str, str], default: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*flat), key), F.lit(default))
 
 
+def slashed(path: Column) -> Column:
+    """The path with forward slashes."""
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """What stands behind the last separator, a slash or a backslash."""
+    return F.element_at(F.split(slashed(path), "/"), -1)
 
 
 def extension(name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codestrata.functions.files import slashed
+
 # Node label of each symbol type.
 NODE_LABELS = """
 class: Class
@@ -35,8 +37,8 @@ def or_else(c: Column, other: Column) -> Column:
 
 
 def module_of(path: Column, language: Column) -> Column:
-    """Path without extension; dotted, except for Go, which keeps its slashes."""
-    stem = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    """Path without extension, its separators slashes or backslashes; dotted, except for Go, which gets slashes."""
+    stem = F.regexp_replace(slashed(path), r"(?<=[^/])\.[^./]*$", "")
     dotted = F.array_join(F.filter(F.split(stem, "/"), lambda p: (p != "") & (p != ".")), ".")
     return F.when(F.lower(language) == "go", stem).otherwise(dotted)
 

@@ -152,7 +152,7 @@ def ancestor_directories(files: DataFrame) -> DataFrame:
     upto = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     rows = files.where(F.size(parts) > 1).select("repository_id", F.explode(upto).alias("directory")).where("directory <> ''").distinct()
     return rows.select(
-        "repository_id", "directory", X.file_name(F.col("directory")).alias("name"), F.size(F.split("directory", "/")).alias("depth")
+        "repository_id", "directory", F.element_at(F.split("directory", "/"), -1).alias("name"), F.size(F.split("directory", "/")).alias("depth")
     )
 
 

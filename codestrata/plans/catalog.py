@@ -57,9 +57,7 @@ def scan_summary(spark, sf_dir):
     return S.scan_summary(files(spark, sf_dir))
 
 
-def scan_rows(spark, sf_dir):
-    """Metadata derived from the path of every file row."""
-    f = files(spark, sf_dir).where(~F.col("relative_path").contains("\\"))
+def _scan_rows(f: DataFrame) -> DataFrame:
     name = X.file_name(F.col("relative_path"))
     return f.select("id", name.alias("name")).withColumn("ext", X.extension(F.col("name"))).select(
         "id", "name", "ext", X.language(F.col("name"), F.col("ext")).alias("language"), X.mime_type(F.col("ext")).alias("mime_type"),
@@ -67,6 +65,16 @@ def scan_rows(spark, sf_dir):
     )
 
 
+def scan_rows(spark, sf_dir):
+    """Metadata derived from the path of every file row whose path is written with slashes; ``scan_rows_all`` has the others too."""
+    return _scan_rows(files(spark, sf_dir).where(~F.col("relative_path").contains("\\")))
+
+
+def scan_rows_all(spark, sf_dir):
+    """Metadata derived from the path of every file row."""
+    return _scan_rows(files(spark, sf_dir))
+
+
 def scan_texts(spark, sf_dir):
     """Size, hash and binary flag of the texts at hand, from their bytes."""
     s = read_table(spark, sf_dir, "source_files", "file_id", "source").where("source is not null")
@@ -186,10 +194,17 @@ def names_normalised(spark, sf_dir):
 
 
 def modules(spark, sf_dir):
+    """Module names of the files whose path is written with slashes; ``modules_all`` has the others too."""
     f = files(spark, sf_dir).where(~F.col("relative_path").contains("\\") & F.col("language").isNotNull())
     return f.select("id", N.module_of(F.col("relative_path"), F.col("language")).alias("module"))
 
 
+def modules_all(spark, sf_dir):
+    """Module names of all files with a language."""
+    f = files(spark, sf_dir).where(F.col("language").isNotNull())
+    return f.select("id", N.module_of(F.col("relative_path"), F.col("language")).alias("module"))
+
+
 def dedup_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
     return keep_first(d, ["digest"], ["doc_id"]).select("doc_id")
@@ -227,9 +242,9 @@ def upsert_files(spark, sf_dir):
     return upsert(old, new, ["id"]).select("id", "size_bytes", "scan_status")
 
 
-_NAMES = """lang_stats lang_top8 scan_summary scan_rows scan_texts dir_nodes dir_tree files_parseable files_page file_counts human_sizes job_progress job_sums
+_NAMES = """lang_stats lang_top8 scan_summary scan_rows scan_rows_all scan_texts dir_nodes dir_tree files_parseable files_page file_counts human_sizes job_progress job_sums
 repositories_newest repositories_duplicates entries_filtered entries_by_filename search_prefix search_exact search_qualified children entry_counts
-entry_flags names_normalised modules dedup_documents dedup_stats upsert_batches index_functions parent_link upsert_files"""
+entry_flags names_normalised modules modules_all dedup_documents dedup_stats upsert_batches index_functions parent_link upsert_files"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 
@@ -297,3 +312,5 @@ SQL = {
     "parent_link": E_ + f", o AS (SELECT repository_id, qualified_name, min(id) AS id, {_PARENT} AS pn FROM e WHERE qualified_name IS NOT NULL GROUP BY 1, 2) SELECT o.id, p.id AS parent_symbol_id FROM o LEFT JOIN o p ON o.repository_id = p.repository_id AND o.pn = p.qualified_name",
     "upsert_files": F_ + " SELECT id, size_bytes, scan_status FROM f",
 }
+for _name, _filter in (("scan_rows", " WHERE relative_path NOT LIKE '%\\%'"), ("modules", "relative_path NOT LIKE '%\\%' AND ")):
+    SQL[f"{_name}_all"] = SQL[_name].replace(_filter, "").replace("relative_path", "replace(relative_path, '\\', '/')")
