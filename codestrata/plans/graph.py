@@ -110,9 +110,18 @@ def shortest_definition(spark, sf_dir):
 
 
 def cycles_calls(spark, sf_dir):
-    """Cycles of two to four calls."""
+    """Cycles of two to four calls; ``cycles_calls_6`` has the longer ones too."""
+    return _cycles_calls(spark, sf_dir, 4)
+
+
+def cycles_calls_6(spark, sf_dir):
+    """Cycles of two to six calls, the bound of the blueprint."""
+    return _cycles_calls(spark, sf_dir, 6)
+
+
+def _cycles_calls(spark, sf_dir, max_length: int) -> DataFrame:
     pairs = G.directed(G.of_types(_edges(spark, sf_dir), ["CALLS"]))
-    return T.cycles(pairs, 4, Scratch(spark, "cycles")).select(F.col("length").cast("bigint").alias("length"), "path")
+    return T.cycles(pairs, max_length, Scratch(spark, "cycles")).select(F.col("length").cast("bigint").alias("length"), "path")
 
 
 def has_cycle(spark, sf_dir):
@@ -225,7 +234,7 @@ def job_states(spark, sf_dir):
 
 
 _NAMES = """node_counts contains_edges defines_edges call_edges edges_valid neighbours_both call_graph unused unused_compat orphan_classes graph_counts
-k_hop_calls expand_inherits shortest_definition cycles_calls has_cycle longest_chain induced_classes delete_incremental library_of_objects
+k_hop_calls expand_inherits shortest_definition cycles_calls cycles_calls_6 has_cycle longest_chain induced_classes delete_incremental library_of_objects
 parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -288,3 +297,4 @@ SELECT r.id AS repository_id, coalesce(nj.n, 0) AS n_jobs, coalesce(ne.n, 0) AS
 FROM r LEFT JOIN ne ON ne.repository_id = r.id LEFT JOIN nj ON nj.repository_id = r.id""",
     "library_of_objects": "SELECT DISTINCT callee_object, CASE WHEN callee_object LIKE '%/%' AND callee_object LIKE '%.%' THEN string_split(rtrim(callee_object, '/'), '/')[-1] ELSE regexp_extract(callee_object, '^[^./]*', 0) END AS library FROM calls WHERE callee_object IS NOT NULL",
 }
+SQL["cycles_calls_6"] = SQL["cycles_calls"].replace("len(w.p) < 4", "len(w.p) < 6")
