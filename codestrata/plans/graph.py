@@ -124,12 +124,16 @@ def _cycles_calls(spark, sf_dir, max_length: int) -> DataFrame:
     return T.cycles(pairs, max_length, Scratch(spark, "cycles")).select(F.col("length").cast("bigint").alias("length"), "path")
 
 
+#: Edges by which one node depends on another.
+_DEPENDENCIES = ["CALLS", "EXPOSES_ROUTE", "IMPLEMENTS", "IMPORTS", "INHERITS"]
+
+
 def has_cycle(spark, sf_dir):
-    """Per edge type: nodes left after peeling, 0 without a cycle."""
+    """Nodes left after peeling, 0 without a cycle: per edge type, and for the dependency edges of all types together."""
     e = _edges(spark, sf_dir)
     parts = []
-    for kind in ("CALLS", "DEFINES", "INHERITS"):
-        left = T.cyclic_nodes(G.directed(G.of_types(e, [kind])), Scratch(spark, "peel"))
+    for kind, types in (("CALLS", ["CALLS"]), ("DEFINES", ["DEFINES"]), ("INHERITS", ["INHERITS"]), ("DEPENDENCIES", _DEPENDENCIES)):
+        left = T.cyclic_nodes(G.directed(G.of_types(e, types)), Scratch(spark, "peel"))
         parts.append(left.agg(F.count(F.lit(1)).alias("n_left")).select(F.lit(kind).alias("edge_type"), "n_left"))
     return reduce(DataFrame.unionByName, parts)
 
