@@ -32,7 +32,7 @@ from codestrata.sources.scratch import Scratch
 
 MIN_CHARS = 400
 GRAM = 64
-#: Pieces per index shard; an anchor with more is indexed in blocks, each of which all its pieces are streamed through.
+#: Pieces per index shard; the distinct pieces of an anchor with more are cut into blocks, any two of which make a shard.
 SHARD_PIECES = 3000
 #: Characters that the winnowing step holds at once.
 _CHUNK = 1 << 20
@@ -199,6 +199,28 @@ def _search_shard(pdf: pd.DataFrame, min_chars: int, gram: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
+def _search_blocks(pdf: pd.DataFrame, min_chars: int, gram: int) -> pd.DataFrame:
+    """:func:`_search_shard` over collapsed pieces (shard, key, rep_a, rep_b, offset, piece): (group, key, span_from, span_to) with spans within the piece.
+
+    Two names stand for the texts of a piece that several texts have; one text has one name in all of its pieces.
+    """
+    names: dict[object, int] = {}
+    keys = pdf["key"].tolist()
+    rows, key_of = [], {}
+    for i, (key, a, b, offset, piece) in enumerate(zip(keys, pdf["rep_a"], pdf["rep_b"], pdf["offset"], pdf["piece"])):
+        for holder in [a] if a == b else [(key, 0), (key, 1)]:
+            name = names.setdefault(holder, len(names))
+            key_of.setdefault(name, key)
+            rows.append((name, (i << 32) + int(offset), int(offset), piece, True))  # the row number comes back in the span
+    found = _search_shard(pd.DataFrame(rows, columns=["rep", "pos", "offset", "piece", "indexed"]), min_chars, gram)
+    shard = str(pdf["shard"].iloc[0]).encode()
+    out = {
+        (hashlib.blake2b(bytes(g) + shard, digest_size=16).digest(), key_of[r] if f < 0 else keys[f >> 32], f if f < 0 else f & 0xFFFFFFFF, t if f < 0 else t & 0xFFFFFFFF)
+        for g, r, f, t in zip(found["group"], found["rep"].tolist(), found["span_from"].tolist(), found["span_to"].tolist())
+    }
+    return pd.DataFrame(sorted(out), columns=["group", "key", "span_from", "span_to"])
+
+
 def _set_identity(names: list[int]) -> bytes:
     return hashlib.blake2b(np.array(names, dtype=np.int64).tobytes(), digest_size=16).digest()
 
@@ -276,21 +298,46 @@ def shared_windows(
         "anchor", "rep", "pos", "n_pieces", (F.col("pos") - start).cast("int").alias("offset"),
         F.substring("text", (start + 1).cast("int"), (F.col("pos") - start + min_chars).cast("int")).alias("piece"),
     )
-    total = shared.count()
+    hot = F.col("n_pieces") > SHARD_PIECES
+    total = shared.where(~hot).count()
     shards = max(1, math.ceil(total / SHARD_PIECES))
-    blocks = F.ceil(F.col("n_pieces") / SHARD_PIECES).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    # an anchor of many texts is indexed in blocks; each of its pieces is streamed through all of them
-    spread = pieces.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "rep", "pos", "offset", "piece", (F.col("block") == own).alias("indexed"),
-        F.when(blocks > 1, F.xxhash64("anchor", "block")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"),
-    )
-    windows = spread.groupBy("shard").applyInPandas(
+    usual = pieces.where(~hot).select("rep", "pos", "offset", "piece", F.lit(True).alias("indexed"), F.pmod("anchor", F.lit(shards)).alias("shard"))
+    windows = usual.groupBy("shard").applyInPandas(
         lambda pdf: _search_shard(pdf, min_chars, gram), "group binary, rep bigint, span_from bigint, span_to bigint"
     )
+    if not shared.where(hot).isEmpty():
+        windows = windows.unionByName(_hot_windows(pieces.where(hot), scratch, min_chars, gram))
     return scratch.save(windows), classes
 
 
+def _hot_windows(pieces: DataFrame, scratch: Scratch, min_chars: int, gram: int) -> DataFrame:
+    """(group, rep, span_from, span_to) of the pieces of anchors that more texts have than a shard holds.
+
+    Equal pieces become one.  What is left of an anchor is cut into blocks of half a shard, and every two blocks
+    make a group of their own, so that any two pieces meet in a group of bounded size.
+    """
+    keyed = pieces.withColumn("key", F.unhex(F.md5(F.concat_ws(":", "anchor", "offset", "piece"))))
+    places = scratch.save(keyed.select("key", "rep", (F.col("pos") - F.col("offset")).alias("origin")))
+    one = scratch.save(
+        keyed.groupBy("anchor", "key", "offset").agg(F.min("rep").alias("rep_a"), F.max("rep").alias("rep_b"), F.first("piece").alias("piece"))
+    )
+    sizes = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.lit(2), F.ceil(F.col("n") * 2 / SHARD_PIECES).cast("int"))
+    spread = one.join(sizes, "anchor").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    spread = spread.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))))
+    spread = spread.select(
+        "key", "rep_a", "rep_b", "offset", "piece",
+        F.concat_ws(":", "anchor", F.least("own", "other"), F.greatest("own", "other")).alias("shard"),
+    )
+    found = spread.groupBy("shard").applyInPandas(
+        lambda pdf: _search_blocks(pdf, min_chars, gram), "group binary, key binary, span_from bigint, span_to bigint"
+    )
+    here = F.when(F.col("span_from") < 0, F.lit(0)).otherwise(F.col("origin"))
+    return found.join(places, "key").select(
+        "group", "rep", (F.col("span_from") + here).alias("span_from"), (F.col("span_to") + here).alias("span_to")
+    ).distinct()
+
+
 def shared_pairs(windows: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b, of documents that share a window or their whole text.
 
