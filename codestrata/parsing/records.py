@@ -127,6 +127,15 @@ def functions(rows: DataFrame) -> DataFrame:
     )
 
 
+def is_constructor() -> Column:
+    """Whether a row of ``functions`` is a constructor, by the name that its language gives to them."""
+    name, language = F.col("function_name"), F.col("language")
+    named = F.when(language == "Python", name == "__init__").when(language.isin("JavaScript", "TypeScript"), name == "constructor")
+    # a Java constructor has the name of its class
+    java = F.col("qualified_name") == F.concat_ws(".", name, name)
+    return F.col("is_method") & F.coalesce(named.when(language == "Java", java), F.lit(False))
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """(file_id, repository_id, language, class_name, qualified_name, base_classes, start_line)."""
     split = F.filter(F.transform(F.split(F.coalesce("bases", F.lit("")), ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.contains("="))

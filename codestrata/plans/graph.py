@@ -208,7 +208,7 @@ def parsed_index(spark, sf_dir):
     null = F.lit(None).cast("string")
     paths = read_table(spark, sf_dir, "source_files", "file_id", "relative_path")
     fn = P.functions(rows).join(paths, "file_id").select(
-        "*", F.lit(False).alias("is_constructor"), F.lit(False).alias("is_static"), null.alias("return_type"), null.alias("documentation"),
+        "*", P.is_constructor().alias("is_constructor"), F.lit(False).alias("is_static"), null.alias("return_type"), null.alias("documentation"),
         F.col("start_line").alias("end_line"),
     )
     cl = P.classes(rows).join(paths, "file_id").select(
