@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.peg import Grammar, State, ahead, choice, many, opt, rx, seq
+from codestrata.llm.peg import Grammar, State, ahead, balanced, choice, many, opt, rx, seq
 
 #: Fewer words than this, besides those of the function's name, make a comment trivial.
 MIN_WORDS = 5
@@ -29,7 +29,7 @@ def _python() -> Grammar:
     plain = r'[rRbBuUfF]{0,2}(?:"(?:[^"\\\n]|\\(?s:.))*"|\'(?:[^\'\\\n]|\\(?s:.))*\')'
     string = rx(f"{triple}|{plain}")
     comment = rx(r"#[^\n]*")
-    g.rule("parens", seq(rx(r"\("), many(choice(rx(r"[^()\"'#]+"), comment, string, g.ref("parens"))), rx(r"\)")))
+    g.rule("parens", balanced("(", ")", choice(rx(r"[^()\"'#]+"), comment, string)))
     g.rule(
         "docstring",
         seq(rx(r"(?:[ \t]*(?:#[^\n]*)?\r?\n)*[ \t]*"), rx(f"(?P<quoted>{triple}|{plain})"), ahead(rx(r"[ \t]*(?:;|#|\r?\n|$)"))),
@@ -77,7 +77,7 @@ def _braces(doc: str, signature: str, string: str, before: str) -> Grammar:
     quoted = rx(string)
     comment = rx(r"/\*(?s:.*?)\*/|//[^\n]*")
     gap = rx(r"[ \t]*(?:\r?\n[ \t]*)?")
-    g.rule("parens", seq(rx(r"\("), many(choice(rx(r"[^()\"'`/]+"), comment, quoted, g.ref("parens"), rx(r"/"))), rx(r"\)")))
+    g.rule("parens", balanced("(", ")", choice(rx(r"[^()\"'`/]+"), comment, quoted, rx(r"/"))))
     g.rule("between", many(seq(rx(before), opt(g.ref("parens")), gap)))
 
     def emit(state: State, at: int, end: int, value: list) -> None:

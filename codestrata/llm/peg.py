@@ -89,6 +89,37 @@ def ahead(part: Expr) -> Expr:
     return run
 
 
+def balanced(opening: str, closing: str, inner: Expr) -> Expr:
+    """Nested pairs of two characters with ``inner`` between them, counted, so that no depth is too great.
+
+    Places that are still open where it fails are remembered, so they are not tried again.
+    """
+    number = -1 - id(inner)
+
+    def run(state: State, at: int) -> Result:
+        text, memo, start, opened = state.text, state.memo, at, []
+        while text.startswith(opening, at) or opened:
+            if text.startswith(opening, at):
+                if (number, at) in memo:
+                    break
+                opened.append(at)
+                at += 1
+            elif text.startswith(closing, at):
+                opened.pop()
+                at += 1
+                if not opened:
+                    return at, text[start:at]
+            else:
+                r = inner(state, at)
+                if r is None or r[0] == at:
+                    break
+                at = r[0]
+        memo.update({(number, x): None for x in opened})
+        return None
+
+    return run
+
+
 class Grammar:
     """Named rules with memoised results; ``ref`` may name a rule that is defined later."""
 
