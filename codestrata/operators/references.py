@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators.orphans import FILTER_BITS, orphans
+from codestrata.operators.orphans import FILTER_BITS, key_filter, orphans
 from codestrata.sources.scratch import Scratch
 
 #: Callers that stand for "no enclosing symbol" (fixed values).
@@ -105,11 +105,13 @@ def orphan_references(
 ) -> DataFrame:
     """(table_name, record_id, field_name, at) of references whose ``key`` and ``key2`` both have no living target.
 
-    Few references fail on their first key; those are written once and tried with the second.
+    Few references fail on their first key; those are written once and tried with the second.  One filter
+    serves both.
     """
     scratch = Scratch(spark, "orphans")
     parents = scratch.save(parents)
-    first = scratch.save(orphans(refs, parents, "key", "at", filter_bits))
+    held = key_filter(parents, "key", scratch, filter_bits)
+    first = scratch.save(orphans(refs, parents, "key", "at", held=held))
     single = first.where(F.col("key2").isNull())
-    second = orphans(first.where(F.col("key2").isNotNull()), parents, "key2", "at", filter_bits)
+    second = orphans(first.where(F.col("key2").isNotNull()), parents, "key2", "at", held=held)
     return single.unionByName(second).select("table_name", "record_id", "field_name", "at")

@@ -17,11 +17,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = sc.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -36,12 +38,15 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/codestrata/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the written table; its lineage is the scan alone."""
+    def save(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """Write ``df`` and return the written table; its lineage is the scan alone.
+
+        ``partition_by`` names a column with few values, whose rows can then be read apart.
+        """
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
         if self.count == 1:  # the folder goes when the application ends
             self._filesystem(self.root)[0].deleteOnExit(self._filesystem(self.root)[1])
         out = self.spark.read.schema(schema).parquet(path)
