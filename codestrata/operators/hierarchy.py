@@ -18,6 +18,7 @@ are equi-joins on node numbers.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 
 from codestrata.sources.scratch import Scratch
 
+#: Children of one parent that are put in order by one task.
+HOT_CHILDREN = 200_000
+#: Positions of a nested-set range that one row is spread into at a time.
+RANGE_CHUNK = 10_000
 
 
 @dataclass
@@ -136,28 +141,37 @@ def loop_members(tree: Tree, scratch: Scratch) -> DataFrame:
     )
 
 
-def _sibling_offsets(rows: DataFrame) -> DataFrame:
+def _sibling_offsets(rows: DataFrame, scratch: Scratch, hot_children: int = HOT_CHILDREN) -> DataFrame:
     """(n, p, ..., before): sum of the sizes of the earlier siblings, in order of ``id``.
 
-    Two levels: siblings are cut into blocks by the first characters of their id, blocks are summed
-    and ordered, and only then are siblings ordered inside of a block.  A parent of a third of
-    all nodes is so spread over as many tasks as it has blocks.
+    The children of parents with more than ``hot_children`` of them are range-partitioned by (p, id) with
+    sampled bounds and written, so that the blocks are even whatever the ids look like; blocks are
+    summed and ordered, and siblings are ordered inside of a block only.  A parent of a third of
+    all nodes is so spread over as many tasks as its children need.
     """
-    block = F.substring("id", 1, 2)
-    rows = rows.withColumn("_block", block)
-    inside = Window.partitionBy("p", "_block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = Window.partitionBy("p").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("p", "_block").agg(F.sum("size").alias("_sum"))
-    blocks = blocks.select("p", "_block", F.coalesce(F.sum("_sum").over(ordered), F.lit(0)).alias("_start"))
-    return (
-        rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    hot = rows.groupBy("p").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_children)
+    hot = scratch.save(hot)
+    n_hot = hot.agg(F.sum("_n")).first()[0] or 0
+    usual = rows.join(hot, "p", "left_anti") if n_hot else rows
+    usual = usual.withColumn("before", summed("size", earlier("p").orderBy("id")))
+    if not n_hot:
+        return usual
+    crowded = rows.join(hot.select("p"), "p", "left_semi").repartitionByRange(1 + math.ceil(n_hot / hot_children), "p", "id")
+    crowded = scratch.save(crowded.withColumn("_block", F.spark_partition_id()))
+    blocks = crowded.groupBy("p", "_block").agg(F.sum("size").alias("_sum"))
+    blocks = blocks.select("p", "_block", summed("_sum", earlier("p").orderBy("_block")).alias("_start"))
+    crowded = (
+        crowded.withColumn("_in", summed("size", earlier("p", "_block").orderBy("id")))
         .join(blocks, ["p", "_block"])
         .withColumn("before", F.col("_in") + F.col("_start"))
         .drop("_block", "_in", "_start")
     )
+    return usual.unionByName(crowded)
 
 
-def nested_sets(tree: Tree, scratch: Scratch, separator: str = "/") -> DataFrame:
+def nested_sets(tree: Tree, scratch: Scratch, separator: str = "/", hot_children: int = HOT_CHILDREN) -> DataFrame:
     """(n, depth, root, left, right, path) of the processed nodes.
 
     ``left`` is the preorder number inside of the root's tree, from 0; ``right`` the last
@@ -169,7 +183,7 @@ def nested_sets(tree: Tree, scratch: Scratch, separator: str = "/") -> DataFrame
         "n", "depth", "root", "size", F.lit(None).cast("bigint").alias("jump"), F.lit(0).cast("bigint").alias("off"),
         name.alias("path"),
     )
-    inner = _sibling_offsets(base.where(F.col("p").isNotNull())).select(
+    inner = _sibling_offsets(base.where(F.col("p").isNotNull()), scratch, hot_children).select(
         "n", "depth", "root", "size", F.col("p").alias("jump"), (F.col("before") + 1).cast("bigint").alias("off"),
         name.alias("path"),
     )
@@ -206,7 +220,9 @@ def loops(spark: SparkSession, df: DataFrame, id_col: str, parent_col: str) -> D
     return loop_members(tree, scratch).join(nodes, "n").select(F.col("id").alias("entry_id"), "cycle_id", "on_loop")
 
 
-def hierarchy(spark: SparkSession, df: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFrame:
+def hierarchy(
+    spark: SparkSession, df: DataFrame, id_col: str, parent_col: str, name_col: str, hot_children: int = HOT_CHILDREN
+) -> DataFrame:
     """One row per id: entry_id, parent_id, root_id, depth, left, right, n_descendants, path, cycle_id.
 
     Rows on or below a loop have a cycle_id, -1 for the numbers and null for root and path.  parent_id is null where the
@@ -215,7 +231,7 @@ def hierarchy(spark: SparkSession, df: DataFrame, id_col: str, parent_col: str,
     scratch = Scratch(spark, "hierarchy")
     nodes = number_nodes(df, id_col, parent_col, name_col, scratch)
     tree = climb(nodes, scratch)
-    sets = nested_sets(tree, scratch)
+    sets = nested_sets(tree, scratch, hot_children=hot_children)
     root_ids = nodes.where(F.col("p").isNull()).select(F.col("n").alias("root"), F.col("id").alias("root_id"))
     placed = nodes.join(sets, "n").join(root_ids, "root").select(
         F.col("id").alias("entry_id"), F.when(F.col("p").isNotNull(), F.col("parent_id")).alias("parent_id"), "root_id",
@@ -231,11 +247,21 @@ def hierarchy(spark: SparkSession, df: DataFrame, id_col: str, parent_col: str,
 
 
 def descendants(placed: DataFrame, of: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id) for the entries named in ``of`` (entry_id), by nested-set ranges."""
-    a = placed.join(of.select("entry_id").distinct(), "entry_id", "left_semi").where(F.col("n_descendants") > 0).select(
-        F.col("entry_id").alias("ancestor_id"), "root_id", F.col("left").alias("_l"), F.col("right").alias("_r")
-    )
-    d = placed.where(F.col("depth") > 0).select(F.col("entry_id").alias("descendant_id"), "root_id", "left")
-    return a.join(d, "root_id").where((F.col("left") > F.col("_l")) & (F.col("left") <= F.col("_r"))).select(
-        "ancestor_id", "descendant_id"
+    """(ancestor_id, descendant_id, distance) for the entries named in ``of`` (entry_id), by nested-set ranges.
+
+    Preorder numbers have no gaps, so a range is the list of its positions, each of which is exactly one node of the
+    root: the join is on (root, position), makes no candidate that is no result, and no root is a hot key.  A
+    long range is spread in chunks that go to different tasks.  Entries on or below loops have no ranges.
+    """
+    wanted = placed.join(of.select("entry_id").distinct(), "entry_id", "left_semi").where(F.col("n_descendants") > 0)
+    start = F.explode(F.sequence(F.col("left") + 1, F.col("right"), F.lit(RANGE_CHUNK).cast("bigint")))
+    chunks = wanted.select(
+        F.col("entry_id").alias("ancestor_id"), "root_id", F.col("depth").alias("_depth"), start.alias("_from"), "right"
     )
+    # only ranges of more than a chunk have to leave their task
+    several = chunks.where(F.col("right") - F.col("_from") >= RANGE_CHUNK - 1).repartition("ancestor_id", "_from")
+    chunks = chunks.where(F.col("right") - F.col("_from") < RANGE_CHUNK - 1).unionByName(several)
+    last = F.least("right", F.col("_from") + RANGE_CHUNK - 1)
+    a = chunks.select("ancestor_id", "root_id", "_depth", F.explode(F.sequence("_from", last)).alias("left"))
+    d = placed.where(F.col("depth") > 0).select(F.col("entry_id").alias("descendant_id"), "root_id", "left", "depth")
+    return a.join(d, ["root_id", "left"]).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("_depth")).alias("distance"))

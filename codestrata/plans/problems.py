@@ -9,6 +9,7 @@ from codestrata.operators import hierarchy as H
 from codestrata.operators.merge import latest
 from codestrata.operators.references import call_references, edge_references, node_lifetimes, orphan_references
 from codestrata.operators.skew import compress, heavy_keys, weighted_percentiles, weighted_summary
+from codestrata.sources.scratch import Scratch
 from codestrata.sources.tables import read_table
 
 HOT_SHARE = 0.04
@@ -103,6 +104,12 @@ def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"left": "set_left", "right": "set_right"})
 
 
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of an entry and one of its descendants, with their distance; entries on or below loops have none."""
+    tree = Scratch(spark, "tree").save(H.hierarchy(spark, _entries(spark, sf_dir), "id", "parent_symbol_id", "name"))
+    return H.descendants(tree, tree.select("entry_id"))
+
+
 def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per loop: entries on it and entries below it."""
     rows = H.loops(spark, _entries(spark, sf_dir), "id", "parent_symbol_id")
@@ -114,7 +121,7 @@ def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_repository_files, p2_repository_calls, p3_found, p3_orphans_by_month, p4_found, p4_hierarchy, p4_loops)
+    for f in (p2_found, p2_repository_files, p2_repository_calls, p3_found, p3_orphans_by_month, p4_found, p4_hierarchy, p4_descendants, p4_loops)
 }
 
 _P3 = r"""
@@ -197,6 +204,10 @@ FROM a LEFT JOIN e ON a.repository_id = e.repository_id""",
     + "SELECT table_name, field_name, month, count(DISTINCT record_id) AS n_orphans FROM orphan GROUP BY 1, 2, 3",
     "p4_found": f"WITH RECURSIVE {_CURRENT} SELECT entry_id, cycle_id FROM cyc",
     "p4_loops": f"WITH RECURSIVE {_CURRENT} SELECT cycle_id, count(*) FILTER (WHERE on_loop) AS n_on_loop, count(*) FILTER (WHERE NOT on_loop) AS n_below FROM cyc GROUP BY 1",
+    "p4_descendants": f"""WITH RECURSIVE {_CURRENT},
+up AS (SELECT id AS descendant_id, parent AS a, CAST(1 AS BIGINT) AS distance FROM link WHERE parent IS NOT NULL AND id IN (SELECT id FROM placed)
+  UNION ALL SELECT u.descendant_id, l.parent, u.distance + 1 FROM up u JOIN link l ON u.a = l.id WHERE l.parent IS NOT NULL)
+SELECT a AS ancestor_id, descendant_id, distance FROM up""",
     "p4_hierarchy": f"""WITH RECURSIVE {_CURRENT},
 up AS (SELECT id AS descendant, id AS a FROM placed UNION ALL SELECT u.descendant, l.parent FROM up u JOIN link l ON u.a = l.id WHERE l.parent IS NOT NULL),
 size AS (SELECT a AS id, count(*) AS n FROM up GROUP BY a),

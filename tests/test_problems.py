@@ -8,7 +8,7 @@ import pytest
 
 from codestrata.operators import hierarchy as H
 from codestrata.operators.merge import batched_upsert_winners, duplicate_stats, keep_first, latest, upsert
-from codestrata.operators.orphans import bloom_filter, orphans
+from codestrata.operators.orphans import bloom_filter, key_filter, orphans
 from codestrata.operators.skew import compress, heavy_keys, weighted_percentiles, weighted_summary
 from codestrata.sources.scratch import Scratch
 
@@ -72,6 +72,20 @@ def test_orphans_without_parents_and_full_filter(spark):
     assert bloom_filter(many, "key", 1 << 15) is None  # too full to be of use
 
 
+def test_filter_with_more_keys_than_a_slice_holds(spark):
+    parents = spark.range(30000).selectExpr("concat('k', id) as key", "timestamp '2024-01-01' as born", "cast(null as timestamp) as died")
+    held = key_filter(parents, "key", Scratch(spark, "slices"), 1 << 15)
+    assert len(held.slices) >= 9
+    refs = spark.range(40000).selectExpr("id", "if(id % 40 = 7, null, concat('k', id)) as key", "timestamp '2024-02-01' as at")
+    tagged = held.tag(refs, "key")
+    assert tagged.where("key is null").count() == tagged.where("key is null and not _maybe").count() == 1000
+    assert tagged.where("id < 30000 and key is not null and not _maybe").count() == 0  # no parent is ever denied
+    through = tagged.where("id >= 30000 and _maybe").count()
+    assert through < 300  # the others meet no join
+    found = orphans(refs, parents, "key", "at", 1 << 15)
+    assert found.count() == refs.where("id >= 30000 or key is null").count()
+
+
 def _tree_brute(rows):
     up = {i: p for i, p, _ in rows}
     name = {i: n for i, _, n in rows}
@@ -128,6 +142,25 @@ def test_hierarchy_equals_brute_force(spark, seed):
     assert flags == {i: w[1:] for i, w in want.items() if w[0] == "loop"}
 
 
+def test_hot_parent_with_prefixed_ids(spark):
+    rng = random.Random(11)
+    rows = [("file:0", None, "top")] + [(f"file:{i}", "file:0" if i % 3 else f"file:{max(0, i - 1)}", "x") for i in range(1, 400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, parent string, name string")
+    want = H.hierarchy(spark, df, "id", "parent", "name")
+    got = H.hierarchy(spark, df, "id", "parent", "name", hot_children=20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    tree = Scratch(spark, "tree").save(got)
+    pairs = {(r[0], r[1]): r[2] for r in H.descendants(tree, tree.select("entry_id")).collect()}
+    up, brute = {i: p for i, p, _ in rows}, {}
+    for i in up:
+        j, n = up[i], 1
+        while j:
+            brute[(j, i)] = n
+            j, n = up[j], n + 1
+    assert pairs == brute
+
+
 def test_hierarchy_edges(spark):
     empty = spark.createDataFrame([], "id string, parent string, name string")
     assert H.hierarchy(spark, empty, "id", "parent", "name").count() == 0
