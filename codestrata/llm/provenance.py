@@ -1,16 +1,17 @@
 """Source files that nobody wrote by hand.
 
-Three sources of evidence, in this order of authority:
+Evidence, in this order of authority:
 
 1. Attribute files.  Their lines mark paths as generated or vendored (or take a mark back); globs
    are resolved per directory, a deeper file wins over a higher one and a later line over an
    earlier one.
-2. A default attribute file for repositories that declare nothing, in the same syntax.
-3. Patterns mined from the corpus: directory names and file-name endings whose files carry hard
-   evidence (notices in the text, machine-made layout, a size beyond what is written by hand)
-   far more often than others.  They too apply to undeclared files only.
+2. Hard evidence of a file itself: notices in its text, machine-made layout, a size beyond what is
+   written by hand, a place below a directory named like a package with its version.
+3. Patterns mined from the corpus for repositories that declare nothing: directory names and file-name
+   endings whose files are marked by attribute files elsewhere, or carry hard evidence, far more often than others.
+4. A short default attribute file of conventions that small corpora are not enough to mine.
 
-Hard evidence marks a file by itself, and a file with the same hash as a kept copy is a copy.
+A file with the same hash as a kept copy is a copy.
 """
 
 from __future__ import annotations
@@ -27,84 +28,40 @@ from codestrata.sources.scratch import Scratch
 #: Nothing written by hand is larger (given with the data).
 MAX_HAND_WRITTEN_BYTES = 512 * 1024
 CODE_EXTENSIONS = ["py", "js", "mjs", "ts", "d.ts", "java", "go"]
-#: Mined patterns need this many files with hard evidence, in this many repositories, and this share of the files whose text is known.
-MIN_SUPPORT, MIN_REPOSITORIES, MIN_SHARE = 5, 3, 0.5
-
-#: Common conventions of public tools, as an attribute file (fixed values).
+#: Mined patterns need evidence in this many repositories (declared marks: in this many), and a lower confidence
+#: bound of the share of files with evidence above one of these, tried from the surest down.
+MIN_REPOSITORIES, MIN_DECLARING = 3, 2
+SHARES = (0.5, 0.35, 0.25, 0.18)
+#: No pattern rests on sizes or places alone with a lower share than these.
+MIN_LARGE, MIN_PLACED, MIN_DECLARED = 0.2, 0.3, 0.3
+_Z = 1.64
+
+#: Conventions of public tools, as an attribute file (fixed values), for corpora too small to mine them from.
 DEFAULT_ATTRIBUTES = """
 **/node_modules/** vendored
-**/bower_components/** vendored
-**/jspm_packages/** vendored
-**/web_modules/** vendored
 **/vendor/** vendored
-**/_vendor/** vendored
-**/vendored/** vendored
 **/third_party/** vendored
-**/third-party/** vendored
-**/thirdparty/** vendored
-**/3rdparty/** vendored
-**/3rd-party/** vendored
-**/3rd_party/** vendored
-**/external/** vendored
-**/externals/** vendored
-**/extern/** vendored
-**/deps/** vendored
-**/Godeps/** vendored
-**/_workspace/** vendored
-**/site-packages/** vendored
-**/dist-packages/** vendored
-**/Pods/** vendored
-**/Carthage/** vendored
 **/dist/** vendored
-**/generated/** generated
-**/__generated__/** generated
-**/autogen/** generated
-**/_generated/** generated
-**/gen-src/** generated
-**/generated-sources/** generated
-**/generated-src/** generated
-**/generated_sources/** generated
-*.min.js generated
-*.min.mjs generated
-*.min.ts generated
-*.min.cjs generated
-*-min.js generated
-*-min.mjs generated
-*.bundle.js generated
-*.bundle.mjs generated
-*.packed.js generated
-*.umd.js generated
-*.umd.prod.js generated
+*.min.* generated
+*.bundle.* generated
+*.packed.* generated
+*.umd.* generated
 *.prod.js generated
-*.chunk.js generated
-*.chunk.mjs generated
-*.pb.go generated
-*.pb.gw.go generated
-*_grpc.pb.go generated
-*.gen.go generated
-*_gen.go generated
-*_generated.go generated
+*-min.* generated
 zz_generated.* generated
-*_string.gen.go generated
-bindata.go generated
-*_pb2.py generated
-*_pb2_grpc.py generated
-*_pb2.pyi generated
-*.generated.* generated
 *.gen.* generated
-*.auto.* generated
+*_gen.go generated
+*.pb.go generated
+*.generated.* generated
+*_generated.go generated
+*_generated.py generated
+*_pb.* generated
 *.g.ts generated
-*.g.js generated
-*_pb.js generated
-*_pb.ts generated
-*_pb.d.ts generated
-*_grpc_pb.js generated
-*_pb_service.js generated
-*Grpc.java generated
-*OuterClass.java generated
-*_.java generated
+bindata.go generated
 *.designer.* generated
 """
+#: A directory, or the beginning of a file name, like a package with its version: a copy of that package.
+_VERSIONED = r"(?:^|/)[A-Za-z][\w.]*-\d+\.\d+(?:\.\d+)?[/.]"
 
 _NOTICE = re.compile(
     r"code generated by\b|\bdo not (?:edit|modify|change)\b|@generated\b|<auto-?generated|\bauto-?generated (?:by|from|on|file|code|using|with)\b|\bautomatically (?:generated|created|produced)\b"
@@ -196,8 +153,8 @@ def glob_regex(pattern: str) -> str:
 _MARK = re.compile(r"^([-!]?)(?:linguist-)?(generated|vendored|vendor)(?:=(\w+))?$")
 
 
-def attribute_lines(text: str | None) -> list[tuple[int, str, str, bool]]:
-    """(line number, regular expression, mark, set) of the lines that set or unset a mark."""
+def attribute_rules(text: str | None) -> list[tuple[int, str, str, bool | None]]:
+    """(line number, regular expression, mark, set) of the lines about a mark; set is None where the line takes back what others say."""
     out = []
     for n, line in enumerate((text or "").splitlines()):
         parts = line.strip().split()
@@ -207,16 +164,23 @@ def attribute_lines(text: str | None) -> list[tuple[int, str, str, bool]]:
             m = _MARK.match(attribute)
             if m:
                 on = not m.group(1) and (m.group(3) or "true").lower() not in ("false", "0", "no", "unset")
-                out.append((n, glob_regex(parts[0]), "generated" if m.group(2) == "generated" else "vendored", on))
+                mark = "generated" if m.group(2) == "generated" else "vendored"
+                out.append((n, glob_regex(parts[0]), mark, None if m.group(1) == "!" else on))
     return out
 
 
+def attribute_lines(text: str | None) -> list[tuple[int, str, str, bool]]:
+    """:func:`attribute_rules` with False where the line sets nothing."""
+    return [(n, rx, mark, bool(on)) for n, rx, mark, on in attribute_rules(text)]
+
+
 def declared_marks(files: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(file_id, mark, on): what attribute files say about each file.
+    """(file_id, mark, on): what attribute files say about each file; a mark that is unspecified again has no row.
 
     ``files`` has file_id, repository_id, path; ``attributes`` has repository_id, path, text of the attribute
-    files themselves.  Each file meets the rules of the directories above it through an equi-join on
-    (repository, directory); the deepest directory and then the last line wins.
+    files themselves.  Only files of declaring repositories are spread over the directories above them; each meets the
+    rules of those through an equi-join on (repository, directory), and the deepest directory and then the last
+    line wins.
     """
 
     def rules(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,31 +188,38 @@ def declared_marks(files: DataFrame, attributes: DataFrame) -> DataFrame:
             rows = [
                 (r, p.rpartition("/")[0], n, rx, mark, on)
                 for r, p, t in zip(pdf["repository_id"], pdf["path"], pdf["text"])
-                for n, rx, mark, on in attribute_lines(t)
+                for n, rx, mark, on in attribute_rules(t)
             ]
-            yield pd.DataFrame(rows, columns=["repository_id", "directory", "line", "regex", "mark", "on"])
+            yield pd.DataFrame(rows, columns=["repository_id", "directory", "line", "regex", "mark", "on"]).astype({"on": "boolean"})
+
+    @F.pandas_udf("boolean")
+    def matches(paths: pd.Series, patterns: pd.Series) -> pd.Series:
+        compiled = {rx: re.compile(rx) for rx in patterns.unique()}
+        return pd.Series([compiled[rx].fullmatch(p) is not None for p, rx in zip(paths, patterns)], dtype=bool)
 
     rule = attributes.select("repository_id", "path", "text").mapInPandas(
         rules, "repository_id string, directory string, line int, regex string, mark string, on boolean"
     )
+    declaring = attributes.select("repository_id").distinct()
     parts = F.split("path", "/")
     above = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")
     )
-    spread = files.select("file_id", "repository_id", "path", F.explode(above).alias("directory"))
+    inside = files.join(declaring, "repository_id", "left_semi")
+    spread = inside.select("file_id", "repository_id", "path", F.explode(above).alias("directory"))
     under = F.when(F.col("directory") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("directory") + 2, F.length("path")))
     met = spread.join(rule, ["repository_id", "directory"]).withColumn("rest", under)
-    met = met.where(F.regexp_like("rest", F.concat(F.lit("^"), "regex", F.lit("$"))))
+    met = met.where(matches("rest", "regex"))
     return met.groupBy("file_id", "mark").agg(
         F.max_by("on", F.struct(F.length("directory"), "line")).alias("on")
-    )
+    ).where("on is not null")
 
 
-def default_mark(path: Column) -> Column:
-    """Mark of the default attribute file, compared without case in directories; null without one."""
+def default_mark(path: Column, attributes: str = DEFAULT_ATTRIBUTES) -> Column:
+    """Mark of a default attribute file, compared without case in directories; null without one."""
     out = F.lit(None).cast("string")
     for mark in ("generated", "vendored"):
-        rules = [rx for _, rx, m, _ in attribute_lines(DEFAULT_ATTRIBUTES) if m == mark]
+        rules = [rx for _, rx, m, _ in attribute_lines(attributes) if m == mark]
         named = [r for r in rules if not r.startswith("(?:[^/]+/)*")]
         placed = [r for r in rules if r.startswith("(?:[^/]+/)*")]
         hit = F.lit(False)
@@ -256,49 +227,79 @@ def default_mark(path: Column) -> Column:
             hit = hit | path.rlike("^(?:" + "|".join(named) + ")$")
         if placed:
             hit = hit | path.rlike("(?i)^(?:" + "|".join(placed) + ")$")
-        # a directory named like a package with its version holds a copy of that package
-        if mark == "vendored":
-            hit = hit | path.rlike(r"(?:^|/)[A-Za-z][\w.]*-\d+\.\d+(?:\.\d+)?/")
         out = F.when(hit, F.lit(mark)).otherwise(out)
     return out
 
 
-def _features(path: Column, extension: Column) -> Column:
-    """Names of the directories above a file, and the ending of its name behind the last separator."""
-    directories = F.transform(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda d: F.concat(F.lit("dir:"), F.lower(d)))
-    stem = F.regexp_extract(path, r"([^/]*)$", 1)
-    dotted = F.regexp_extract(stem, r"\.([A-Za-z_]+)\.[A-Za-z.]+$", 1)
-    under = F.regexp_extract(stem, r"[_-]([A-Za-z0-9]+)\.[A-Za-z.]+$", 1)
-    first = F.regexp_extract(stem, r"^([A-Za-z]+(?:_[A-Za-z]+)?)\.", 1)
-    endings = F.array(
-        F.when(dotted != "", F.concat(F.lit("dot:"), dotted, F.lit("."), extension)),
-        F.when(under != "", F.concat(F.lit("end:"), under, F.lit("."), extension)),
-        F.when(first != "", F.concat(F.lit("first:"), first, F.lit("."), extension)),
-    )
-    return F.array_distinct(F.concat(directories, F.filter(endings, lambda x: x.isNotNull())))
-
-
-def mined_patterns(evidence: DataFrame) -> DataFrame:
-    """(feature, n_hard, n_known): features whose files with known text mostly carry hard evidence.
+def path_features(path: Column, extension: Column) -> Column:
+    """Names of the directories above a file, and how its name begins and ends, apart for the languages.
 
-    ``evidence`` has repository_id, path, extension, known (the text is at hand) and hard.  Counts are exact
-    over all files; the aggregation combines on the map side, so frequent directories cost nothing.
+    Endings are the last part of the name behind a separator, or its last one and last two capitalised words.
     """
-    rows = evidence.where("known").select(
-        "repository_id", "hard", F.explode(_features(F.col("path"), F.col("extension"))).alias("feature")
-    )
-    per_repo = rows.groupBy("feature", "repository_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("hard"), 1).otherwise(0)).alias("h")
+    parts = F.split(path, "/")
+    directories = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: F.concat(F.lit("dir:"), F.lower(d)))
+    name = F.element_at(parts, -1)
+    stem = F.when(F.endswith(name, F.concat(F.lit("."), extension)), F.substring(name, F.lit(1), F.length(name) - F.length(extension) - 1)).otherwise(name)
+    family = F.when(extension.isin("js", "mjs", "ts", "d.ts"), F.lit("js")).otherwise(extension)
+    ends = [
+        ("end", r"([._-][A-Za-z0-9]*)$"), ("word", r"[a-z0-9]([A-Z][a-z0-9]*)$"), ("words", r"[a-z0-9]([A-Z][a-z0-9]*[A-Z][a-z0-9]*)$"),
+        ("first", r"^([A-Za-z]+(?:_[A-Za-z]+)?)[._-]"),
+    ]
+    named = [F.when(stem.rlike(rx), F.concat(F.lit(kind + ":"), F.regexp_extract(stem, rx, 1), F.lit("|"), family)) for kind, rx in ends]
+    return F.array_distinct(F.concat(directories, F.filter(F.array(*named), lambda x: x.isNotNull())))
+
+
+def _lower_bound(hits: Column, n: Column) -> Column:
+    """Lower confidence bound of a share (Wilson), 0 of nothing."""
+    share, z = hits / n, F.lit(_Z)
+    spread = z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)
+    return F.when(n > 0, (share + z * z / (2 * n) - spread) / (1 + z * z / n)).otherwise(F.lit(0.0))
+
+
+def mined_patterns(evidence: DataFrame, scratch: Scratch) -> DataFrame:
+    """(feature, mark): features whose files carry evidence far more often than others.
+
+    ``evidence`` has file_id, repository_id, features, and what is known about each file: ``declaring`` (its
+    repository has attribute files), ``declared`` (their mark), ``known`` (the text is at hand), ``shown`` (what the text
+    shows), ``large`` and ``placed``.  Counts are exact over all files and combine on the map side, so frequent
+    directories cost nothing.  Shares are taken of the files on which that evidence could be seen.  Sure patterns
+    explain their files, which then no longer speak for the other features they have (a directory above, say);
+    only files with evidence are looked at again for that.
+    """
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    totals = scratch.save(
+        evidence.select(F.explode("features").alias("feature"), "declaring", "known")
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("n"), one(F.col("declaring")).alias("n_declaring"), one(F.col("known")).alias("n_known"))
     )
-    per = per_repo.groupBy("feature").agg(
-        F.sum("n").alias("n_known"), F.sum("h").alias("n_hard"), F.sum(F.when(F.col("h") > 0, 1).otherwise(0)).alias("n_repositories")
+    speaking = scratch.save(
+        evidence.where("declared is not null or shown is not null or large or placed")
+        .select("file_id", "repository_id", "declared", "shown", "large", "placed", F.explode("features").alias("feature"))
     )
-    return per.where(
-        (F.col("n_hard") >= MIN_SUPPORT) & (F.col("n_repositories") >= MIN_REPOSITORIES) & (F.col("n_hard") >= MIN_SHARE * F.col("n_known"))
-    ).select("feature", "n_hard", "n_known")
-
-
-def not_hand_written(files: DataFrame, sources: DataFrame, scratch: Scratch, max_bytes: int = MAX_HAND_WRITTEN_BYTES) -> DataFrame:
+    left, found = speaking, None
+    kinds = {"declared": F.col("declared").isNotNull(), "shown": F.col("shown").isNotNull(), "large": F.col("large"), "placed": F.col("placed")}
+    copied = F.coalesce(F.col("declared") == "vendored", F.col("shown") == "vendored", F.lit(False)) | F.col("placed")
+    for share in SHARES:
+        per_repo = left.groupBy("feature", "repository_id").agg(*[one(c).alias(k) for k, c in kinds.items()], F.count(F.lit(1)).alias("hits"), one(copied).alias("copied"))
+        per = per_repo.groupBy("feature").agg(
+            *[F.sum(k).alias(k) for k in kinds], *[one(F.col(k) > 0).alias("in_" + k) for k in kinds], F.sum("hits").alias("hits"), F.sum("copied").alias("copied"),
+        ).join(totals, "feature")
+        sure = lambda k, n, least, repos: (F.col("in_" + k) >= repos) & (_lower_bound(F.col(k), F.col(n)) >= max(share, least))
+        ok = (
+            sure("declared", "n_declaring", MIN_DECLARED, MIN_DECLARING) | sure("shown", "n_known", 0, MIN_REPOSITORIES)
+            | sure("large", "n", MIN_LARGE, MIN_REPOSITORIES) | sure("placed", "n", MIN_PLACED, MIN_REPOSITORIES)
+        )
+        mark = F.when(F.col("copied") * 2 > F.col("hits"), "vendored").otherwise("generated")
+        new = scratch.save(per.where(ok).select("feature", mark.alias("mark")))
+        found = new if found is None else found.unionByName(new)
+        explained = speaking.join(found, "feature", "left_semi").select("file_id").distinct()
+        left = speaking.join(explained, "file_id", "left_anti")
+    return found.groupBy("feature").agg(F.max("mark").alias("mark"))
+
+
+def not_hand_written(
+    files: DataFrame, sources: DataFrame, scratch: Scratch, max_bytes: int = MAX_HAND_WRITTEN_BYTES, defaults: str = DEFAULT_ATTRIBUTES
+) -> DataFrame:
     """(file_id, repository_id, path, reason) of the code files that nobody wrote by hand.
 
     ``files`` holds one current row per id (id, repository_id, relative_path, extension, size_bytes, sha256,
@@ -316,32 +317,39 @@ def not_hand_written(files: DataFrame, sources: DataFrame, scratch: Scratch, max
         return texts.map(text_evidence)
 
     shown = sources.where("source is not null").select("file_id", seen("source").alias("shown"), F.lit(True).alias("known"))
-    base = scratch.save(
-        code.join(shown.groupBy("file_id").agg(F.max("shown").alias("shown"), F.max("known").alias("known")), "file_id", "left")
-        .withColumn("hard", F.when(F.col("size_bytes") > max_bytes, F.lit("oversized")).otherwise(F.col("shown")))
-        .withColumn("default", default_mark(F.col("path")))
-    )
     attributes = sources.where(F.col("relative_path").rlike(r"(^|[/\\])\.gitattributes$") & F.col("source").isNotNull()).select(
         F.col("repository_id"), normal_path(F.col("relative_path")).alias("path"), F.col("source").alias("text")
     )
-    declared = declared_marks(base.select("file_id", "repository_id", "path"), attributes)
+    declared = declared_marks(code.select("file_id", "repository_id", "path"), attributes)
     said = declared.groupBy("file_id").agg(F.max(F.when(F.col("on"), F.col("mark"))).alias("declared"), F.lit(True).alias("spoken"))
-    mined = mined_patterns(base.select("repository_id", "path", "extension", F.coalesce("known", F.lit(False)).alias("known"), F.col("shown").isNotNull().alias("hard")))
+    declaring = attributes.select("repository_id").distinct().withColumn("declaring", F.lit(True))
+    base = scratch.save(
+        code.join(shown.groupBy("file_id").agg(F.max("shown").alias("shown"), F.max("known").alias("known")), "file_id", "left")
+        .join(said, "file_id", "left").join(declaring, "repository_id", "left")
+        .withColumn("large", F.coalesce(F.col("size_bytes") > max_bytes, F.lit(False)))
+        .withColumn("placed", F.col("path").rlike(_VERSIONED))
+        .withColumn("default", default_mark(F.col("path"), defaults))
+        .withColumn("features", path_features(F.col("path"), F.col("extension")))
+        .withColumn("declaring", F.coalesce("declaring", F.lit(False))).withColumn("known", F.coalesce("known", F.lit(False)))
+    )
+    mined = scratch.save(mined_patterns(base, scratch))
     by_pattern = (
-        base.select("file_id", F.explode(_features(F.col("path"), F.col("extension"))).alias("feature"))
-        .join(mined.select("feature"), "feature", "left_semi")
-        .groupBy("file_id").agg(F.min("feature").alias("mined"))
+        base.select("file_id", F.explode("features").alias("feature")).join(mined, "feature")
+        .groupBy("file_id").agg(F.min("feature").alias("mined"), F.max("mark").alias("mined_mark"))
     )
-    judged = base.join(said, "file_id", "left").join(by_pattern, "file_id", "left").withColumn(
+    hard = F.when(F.col("large"), "oversized").otherwise(F.col("shown"))
+    judged = base.join(by_pattern, "file_id", "left").withColumn(
         "reason",
         F.coalesce(
-            F.when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")), F.col("hard"),
-            F.when(F.col("spoken").isNull(), F.coalesce("default", F.when(F.col("mined").isNotNull(), F.concat(F.lit("pattern "), "mined")))),
+            F.when(F.col("declared").isNotNull(), F.concat(F.lit("declared "), "declared")), hard,
+            F.when(F.col("spoken").isNull(), F.coalesce(
+                F.when(F.col("placed"), "vendored"), F.when(F.col("mined").isNotNull(), F.concat(F.lit("pattern "), "mined")), "default",
+            )),
         ),
-    )
-    judged = scratch.save(judged.select("file_id", "repository_id", "path", "size_bytes", "sha256", "default", "shown", "spoken", "reason"))
+    ).withColumn("kept", F.col("placed") | F.coalesce(F.col("shown") == "vendored", F.lit(False)) | F.coalesce(F.col("default") == "vendored", F.lit(False)) | F.coalesce(F.col("mined_mark") == "vendored", F.lit(False)))
+    judged = scratch.save(judged.select("file_id", "repository_id", "path", "size_bytes", "sha256", "kept", "spoken", "reason"))
     # one row per hash of a kept copy, whatever the number of its copies
-    kept = judged.where("sha256 is not null and size_bytes > 0 and reason is not null and (default = 'vendored' or shown = 'vendored')").select("sha256").distinct()
+    kept = judged.where("sha256 is not null and size_bytes > 0 and reason is not null and kept").select("sha256").distinct()
     copies = judged.where("reason is null and spoken is null and size_bytes > 0").join(kept, "sha256", "left_semi").select(
         "file_id", "repository_id", "path", F.lit("copy").alias("reason")
     )

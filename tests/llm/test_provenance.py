@@ -100,3 +100,29 @@ def test_operator(spark):
     # the directory was mined from the files with notices and reaches those without a text
     assert {f"m{i}" for i in range(12)} <= set(got) and got["m11"].startswith("pattern dir:weave")
     assert not_hand_written(files.limit(0), sources, Scratch(spark, "t")).count() == 0
+
+
+def test_taken_back_mark_lets_others_apply(spark):
+    files = spark.createDataFrame([("1", "r", "vendor/a.js"), ("2", "r", "vendor/b.js")], "file_id string, repository_id string, path string")
+    rules = spark.createDataFrame([("r", ".gitattributes", "vendor/* -vendored\nvendor/b.js !vendored")], "repository_id string, path string, text string")
+    assert [(r["file_id"], r["on"]) for r in declared_marks(files, rules).collect()] == [("1", False)]
+
+
+def test_patterns_of_declaring_repositories_reach_the_others(spark):
+    names = "id string, repository_id string, relative_path string, extension string, size_bytes bigint, sha256 string, scan_status string"
+    rows, texts = [], []
+    for r in range(4):
+        texts.append((f"att{r}", f"d{r}", ".gitattributes", "**/thirdlib/** linguist-vendored\n*.weave.go linguist-generated"))
+        rows += [(f"d{r}v{i}", f"d{r}", f"src/thirdlib/x{i}.py", "py", 9, None, "SCANNED") for i in range(5)]
+        rows += [(f"d{r}g{i}", f"d{r}", f"cmd/x{i}.weave.go", "go", 9, None, "SCANNED") for i in range(5)]
+        rows += [(f"d{r}h{i}", f"d{r}", f"src/own/x{i}.py", "py", 9, None, "SCANNED") for i in range(20)]
+    rows += [("u1", "u", "lib/thirdlib/y.py", "py", 9, None, "SCANNED"), ("u2", "u", "pkg/z.weave.go", "go", 9, None, "SCANNED")]
+    rows += [("u3", "u", "src/own/y.py", "py", 9, None, "SCANNED"), ("u4", "u", "pkg/weave.go", "go", 9, None, "SCANNED")]
+    # a declaring repository that takes the mark back for a directory of its own
+    texts.append(("att9", "d9", ".gitattributes", "lib/thirdlib/** -linguist-vendored"))
+    rows.append(("d9v", "d9", "lib/thirdlib/own.py", "py", 9, None, "SCANNED"))
+    files = spark.createDataFrame(rows, names)
+    sources = spark.createDataFrame(texts, "file_id string, repository_id string, relative_path string, source string")
+    got = {r["file_id"]: r["reason"] for r in not_hand_written(files, sources, Scratch(spark, "t"), defaults="").collect()}
+    assert got.pop("u1") == "pattern dir:thirdlib" and got.pop("u2") == "pattern end:.weave|go"
+    assert set(got) == {f"d{r}{k}{i}" for r in range(4) for k in "vg" for i in range(5)}
