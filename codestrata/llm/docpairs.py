@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,56 +65,84 @@ def _at_line_start(state: State, at: int):
     return (at, None) if i == 0 or text[i - 1] == "\n" else None
 
 
-def _name(m: re.Match) -> tuple[int, str]:
-    """(offset, text) of the one group of a signature that took part in the match."""
-    k = m.lastindex
-    return m.start(k), m.group(k)
+def _name(value: object) -> tuple[int, str]:
+    """(offset, text) of the one group that the terminals of a signature caught."""
+    if isinstance(value, re.Match):
+        k = value.lastindex
+        return (value.start(k), value.group(k)) if k else (-1, "")
+    return max(map(_name, value), default=(-1, "")) if isinstance(value, list) else (-1, "")
 
 
-def _braces(doc: str, signature: str, string: str, before: str) -> Grammar:
-    """A language with C-like comments: ``doc`` directly above ``signature``, with ``before`` allowed in between."""
+def _braces(doc: str, signature: Callable[[Grammar], None], string: str, before: str) -> Grammar:
+    """A language with C-like comments: ``doc`` directly above the rule ``signature``, with ``before`` allowed in between."""
     g = Grammar()
     quoted = rx(string)
     comment = rx(r"/\*(?s:.*?)\*/|//[^\n]*")
     gap = rx(r"[ \t]*(?:\r?\n[ \t]*)?")
     g.rule("parens", balanced("(", ")", choice(rx(r"[^()\"'`/]+"), comment, quoted, rx(r"/"))))
     g.rule("between", many(seq(rx(before), opt(g.ref("parens")), gap)))
+    g.rule("angles", seq(balanced("<", ">", rx(r"=>|[^<>(){};=]+|[(){};=]")), _SPACE))
+    g.rule("brackets", seq(balanced("[", "]", rx(r"[^\[\]]+")), _SPACE))
+    signature(g)
 
     def emit(state: State, at: int, end: int, value: list) -> None:
         start, name = _name(value[4])
         state.out.append((start, name, value[1].group(0), -1))
 
-    g.rule("documented", seq(_at_line_start, rx(doc), gap, g.ref("between"), rx(signature)), emit)
+    g.rule("documented", seq(_at_line_start, rx(doc), gap, g.ref("between"), g.ref("signature")), emit)
     g.rule("file", many(choice(g.ref("documented"), comment, quoted, rx(r"[^\"'`/]+"), rx(r"(?s:.)"))))
     return g
 
 
+_SPACE = rx(r"\s*")
+_OPEN = rx(r"\(")
+
+
+def _java_signature(g: Grammar) -> None:
+    g.rule("modifiers", many(rx(r"(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+")))
+    g.rule("type", seq(rx(r"[\w.$]+\s*"), opt(g.ref("angles")), many(rx(r"\[\s*\]\s*"))))
+    g.rule("name", rx(r"([\w$]+)\s*\("))
+    g.rule(
+        "signature",
+        seq(
+            g.ref("modifiers"), opt(g.ref("angles")), rx(r"(?!(?:class|record|interface|enum|new|return|throw|if|for|while|switch|catch)\b)"),
+            choice(seq(g.ref("type"), g.ref("name")), g.ref("name")),
+        ),
+    )
+
+
+def _script_signature(g: Grammar) -> None:
+    g.rule("prefix", seq(many(rx(r"(?:export|default|declare)\s+")), rx(r"(?!(?:if|for|while|switch|catch|return|new|throw)\b)")))
+    g.rule("modifiers", many(rx(r"(?:public|private|protected|static|async|get|set|readonly|abstract|override)\s+")))
+    g.rule("typed", rx(r":[^=;]+"))
+    g.rule("function", seq(opt(rx(r"async\s+")), rx(r"function\s*\*?\s*([\w$]+)\s*"), opt(g.ref("angles")), _OPEN))
+    g.rule(
+        "constant",
+        seq(rx(r"(?:const|let|var)\s+([\w$]+)\s*"), opt(g.ref("typed")), rx(r"=\s*(?:async\s*)?(?:function\b|\(|[\w$]+\s*=>|<)")),
+    )
+    g.rule("method", seq(g.ref("modifiers"), rx(r"\*?\s*(#?[\w$]+)\??\s*"), opt(g.ref("angles")), _OPEN))
+    g.rule("field", seq(g.ref("modifiers"), rx(r"(#?[\w$]+)\s*"), opt(g.ref("typed")), rx(r"=\s*(?:async\s*)?(?:function\b|\()")))
+    g.rule("signature", seq(g.ref("prefix"), choice(*map(g.ref, ("function", "constant", "method", "field")))))
+
+
+def _go_signature(g: Grammar) -> None:
+    g.rule("receiver", seq(g.ref("parens"), _SPACE))
+    g.rule("signature", seq(rx(r"func\b\s*"), opt(g.ref("receiver")), rx(r"(\w+)\s*"), opt(g.ref("brackets")), _OPEN))
+
+
 _C_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 _JS_STRING = _C_STRING + r"|`(?:[^`\\]|\\(?s:.))*`"
 _BLOCK_DOC = r"/\*\*(?!/)(?s:.*?)\*/"
-_JAVA_SIGNATURE = (
-    r"(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
-    r"(?:<[^(){};]*?>\s*)?(?!(?:class|record|interface|enum|new|return|throw|if|for|while|switch|catch)\b)"
-    r"(?:[\w.$]+(?:\s*<[^(){};]*?>)?(?:\s*\[\s*\])*\s+)?([\w$]+)\s*\("
-)
-_JS_SIGNATURE = (
-    r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?!(?:if|for|while|switch|catch|return|new|throw)\b)(?:"
-    r"(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(?:<[^()]*?>)?\s*\("
-    r"|(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+?)?=\s*(?:async\s*)?(?:function\b|\(|[\w$]+\s*=>|<)"
-    r"|(?:(?:public|private|protected|static|async|get|set|readonly|abstract|override)\s+)*\*?\s*(#?[\w$]+)\??\s*(?:<[^()]*?>)?\s*\("
-    r"|(?:(?:public|private|protected|static|readonly)\s+)*(#?[\w$]+)\s*(?::[^=;]+?)?=\s*(?:async\s*)?(?:function\b|\())"
-)
 _GO_DOC = r"(?://[^\n]*\n[ \t]*)*//[^\n]*|/\*(?s:.*?)\*/"
-_GO_SIGNATURE = r"func\s*(?:\([^()]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\s*\("
 
 
 def _grammars() -> dict[str, Grammar]:
-    script = _braces(_BLOCK_DOC, _JS_SIGNATURE, _JS_STRING, r"@[\w.$]+")
+    script = _braces(_BLOCK_DOC, _script_signature, _JS_STRING, r"@[\w.$]+")
     return {
         "py": _python(),
-        "java": _braces(_BLOCK_DOC, _JAVA_SIGNATURE, _C_STRING, r"@(?!interface\b)[\w.$]+"),
+        "java": _braces(_BLOCK_DOC, _java_signature, _C_STRING, r"@(?!interface\b)[\w.$]+"),
         "js": script, "mjs": script, "ts": script,
-        "go": _braces(_GO_DOC, _GO_SIGNATURE, _JS_STRING, r"(?!)"),
+        "go": _braces(_GO_DOC, _go_signature, _JS_STRING, r"(?!)"),
     }
 
 
@@ -173,6 +201,7 @@ _STUB = re.compile(
     r"\bauto-?\s?generated (?:method|function|constructor|catch|class)?\s*(?:stub|block|body)\b|\bplaceholder\b.*\b(?:comment|documentation|docs?|text|inserted|template)\b"
     r"|\b(?:comment|text|documentation)\b.*\binserted by\b|\breplace (?:the body|this (?:text|comment|line)|me) with\b|\byour (?:own )?(?:implementation|description|code|text) (?:goes )?here\b"
     r"|\bgenerated by (?:the )?(?:ide|editor|template|wizard)\b|\bdescription of the (?:method|function)\b|\binsert description\b|\btemplate\b.*\b(?:file|settings|notice)\b.*\b(?:change|edit|choose|open)\b"
+    r"|\bstub (?:produced|created|generated|emitted|inserted|added|made|written)\b|\bfill in (?:the|this|a|your) (?:\w+ )?(?:description|documentation|details|comment|text|body)\b"
     r"|\bto change this (?:template|body|text)\b|^\W*lorem ipsum\b",
     re.I,
 )

@@ -64,3 +64,18 @@ def test_operator_keeps_nulls_and_broken_files_out_of_trouble(spark):
 def test_deep_nesting_ends_early():
     deep = f'def a():\n    """{GOOD}"""\n\ndef b(x={"(" * 5000}1{")" * 5000}):\n    pass\n'
     assert [(n, name) for n, name, _, _ in parse_pairs("py", deep)] == [(1, "a")]
+
+
+def test_notices_of_templates_say_nothing():
+    for text in ("Stub produced by the project template; fill in the description of this member", "Method stub created by the wizard, please fill in the details here"):
+        assert informative_words(text, "run") == 0
+    assert informative_words("Fills in the stub that the remote side left behind for us", "run") >= 5
+
+
+def test_signatures_by_rules():
+    java = "/** Doc. */\n@A(x = \"(\")\npublic static <T extends Map<String, List<T>>> Map<String, T[]> [] join (T a) {}\n/** Doc. */\nclass A {}\n/** Doc. */\nA() {}\n"
+    assert [(line, name) for line, name, _, _ in parse_pairs("java", java)] == [(3, "join"), (7, "A")]
+    ts = "/** Doc. */\nexport const f: Handler = async (x) => x\n/** Doc. */\nexport default function* g<T extends Array<T>>(a: T) {}\n/** Doc. */\nif (x) {}\n"
+    assert [name for _, name, _, _ in parse_pairs("ts", ts)] == ["f", "g"]
+    go = "// Doc.\nfunc (s *Set[K]) Add[T Map[K, []V]](x T) {}\n// Doc.\nfunctional(x)\n"
+    assert [name for _, name, _, _ in parse_pairs("go", go)] == ["Add"]
