@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import DataFrame
@@ -30,39 +33,73 @@ def words(text: str) -> list[str]:
     return [w.casefold() for w in WORD.findall(text)]
 
 
+def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of every run of ``n`` word numbers."""
+    with np.errstate(over="ignore"):
+        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+        out = np.zeros(len(ids) - n + 1, dtype=np.uint64)
+        for k in range(n):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + x[k : k + len(out)]
+        return out ^ (out >> np.uint64(29))
+
+
 class NgramSet:
-    """Vocabulary, n-gram hashes and items of one block of evaluation items."""
+    """Vocabulary and n-grams of one block of evaluation items, as a sorted array of 64-bit hashes with the place of each.
+
+    A gram takes 12 bytes beside the words of the items; a hash that is found is compared with the words at its places.
+    """
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n = n
         self.vocabulary: dict[str, int] = {}
-        self.grams: dict[tuple[int, ...], list[int]] = {}
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(len(ids) - n + 1):
-                owners = self.grams.setdefault(tuple(ids[i : i + n]), [])
-                if not owners or owners[-1] != item_id:
-                    owners.append(item_id)
+        number = self.vocabulary
+        ids, hashes, places, ends = [], [], [], []
+        at = 0
+        for _, text in items:
+            own = np.array([number.setdefault(w, len(number)) for w in words(text)], dtype=np.int32)
+            if len(own) >= n:
+                hashes.append(_gram_hashes(own, n))
+                places.append(np.arange(at, at + len(own) - n + 1, dtype=np.int32))
+            ids.append(own)
+            at += len(own)
+            ends.append(at)
+        self.items = [i for i, _ in items]
+        self.ends = np.array(ends, dtype=np.int64)
+        self.words = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.places = np.concatenate(places) if places else np.empty(0, np.int32)
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.places = self.hashes[order], self.places[order]
 
     def hits(self, text: str) -> dict[int, list[tuple[int, int]]]:
         """Word intervals [first, last) of ``text`` per item, merged where they touch."""
-        known = list(map(self.vocabulary.get, words(text)))
-        n, found = self.n, {}
-        if len(known) < n:
+        found: dict[int, list[tuple[int, int]]] = {}
+        spoken, n = words(text), self.n
+        if len(spoken) < n or not len(self.hashes):
             return found
-        end = -1  # position of the last unknown word
-        grams = self.grams
-        for at, word in enumerate(known):
-            if word is None:
-                end = at
-            elif at - end >= n:
-                # tuple keys are compared word by word, so a hash hit is verified here
-                for item in grams.get(tuple(known[at - n + 1 : at + 1]), ()):
-                    spans = found.setdefault(item, [])
-                    if spans and spans[-1][1] >= at - n + 1:
-                        spans[-1] = (spans[-1][0], at + 1)
-                    else:
-                        spans.append((at - n + 1, at + 1))
+        known = np.fromiter(map(self.vocabulary.get, spoken, repeat(-1)), dtype=np.int64, count=len(spoken))
+        # windows without an unknown word
+        unknown = np.concatenate([[0], np.cumsum(known < 0)])
+        whole = np.flatnonzero(unknown[n:] == unknown[:-n])
+        if not len(whole):
+            return found
+        wanted = _gram_hashes(known, n)[whole]
+        first = np.searchsorted(self.hashes, wanted, side="left")
+        in_set = (first < len(self.hashes)) & (self.hashes[np.minimum(first, len(self.hashes) - 1)] == wanted)
+        for at, low, h in zip(whole[in_set].tolist(), first[in_set].tolist(), wanted[in_set]):
+            high = int(np.searchsorted(self.hashes, h, side="right"))
+            window = known[at : at + n]
+            owners = {
+                self.items[int(np.searchsorted(self.ends, p, side="right"))]
+                for p in self.places[low:high].tolist() if np.array_equal(self.words[p : p + n], window)
+            }
+            for item in owners:
+                spans = found.setdefault(item, [])
+                if spans and spans[-1][1] >= at:
+                    spans[-1] = (spans[-1][0], at + n)
+                else:
+                    spans.append((at, at + n))
         return found
 
 
@@ -116,40 +153,65 @@ def leaked_passages(
     return out
 
 
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the word intervals in ``spans``."""
+    places = [m.span() for m in WORD.finditer(text)]
+    kept, at = [], 0
+    for a, b in sorted(spans):
+        left, right = places[a][0], places[b - 1][1]
+        if left > at:
+            kept.append(text[at:left])
+        at = max(at, right)
+    return "".join(kept) + text[at:]
+
+
 def without_passages(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", n: int = NGRAM_WORDS,
 ) -> DataFrame:
     """``documents`` with the leaked passages cut out of ``text`` and ``n_removed`` characters added.
 
-    A passage runs from its first to its last word.  A null text stays null with 0 removed.
+    A passage runs from its first to its last word.  A null text stays null with 0 removed.  Items of one block are
+    cut in the scan that finds them.  With more blocks each scan holds one of them and gives the intervals of
+    the texts that have any; these few rows are joined back by the digest of the text and cut together.
     """
     spark = documents.sparkSession
     sets = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, n)]
+    if len(sets) <= 1:
+
+        @F.pandas_udf("text string, n_removed int")
+        def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in parts:
+                rows = []
+                for t in texts:
+                    spans = [s for b in sets for v in b.value.hits(t).values() for s in v] if t else []
+                    new = _cut(t, spans) if spans else t
+                    rows.append((new, len(t) - len(new) if t else 0))
+                yield pd.DataFrame(rows, columns=["text", "n_removed"])
+
+        cleaned = documents.withColumn("_cut", cut(F.col(text)))
+        return cleaned.withColumn(text, F.col("_cut.text")).withColumn("n_removed", F.col("_cut.n_removed")).drop("_cut")
+
+    def spans_of(block) -> DataFrame:
+        @F.pandas_udf("array<struct<a int, b int>>")
+        def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in parts:
+                yield pd.Series([[{"a": a, "b": b} for v in block.value.hits(t).values() for a, b in v] for t in texts])
+
+        found = documents.where(F.col(text).isNotNull()).select(F.md5(text).alias("_digest"), find(F.col(text)).alias("_spans"))
+        return found.where(F.size("_spans") > 0)
+
+    every = reduce(DataFrame.unionByName, map(spans_of, sets))
+    every = every.groupBy("_digest").agg(F.array_distinct(F.flatten(F.collect_list("_spans"))).alias("_spans"))
+
+    @F.pandas_udf("string")
+    def cut_found(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, spans)])
+
+    joined = documents.withColumn("_digest", F.md5(text)).join(every, "_digest", "left").withColumn("_new", cut_found(F.col(text), F.col("_spans")))
+    removed = F.coalesce(F.char_length(text) - F.char_length("_new"), F.lit(0)).cast("int")
+    return joined.select(*[F.col(c) for c in documents.columns if c != "n_removed"], removed.alias("n_removed"), "_new").withColumn(text, F.col("_new")).drop("_new").select(
+        *[c for c in documents.columns if c != "n_removed"], "n_removed"
+    )
+
 
-    @F.pandas_udf("text string, n_removed int")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            rows = []
-            for t in texts:
-                if t is None:
-                    rows.append((None, 0))
-                    continue
-                spans = sorted(s for b in sets for v in b.value.hits(t).values() for s in v)
-                if not spans:
-                    rows.append((t, 0))
-                    continue
-                places = [m.span() for m in WORD.finditer(t)]
-                kept, at = [], 0
-                for a, b in spans:
-                    left, right = places[a][0], places[b - 1][1]
-                    if left > at:
-                        kept.append(t[at:left])
-                    at = max(at, right)
-                kept.append(t[at:])
-                new = "".join(kept)
-                rows.append((new, len(t) - len(new)))
-            yield pd.DataFrame(rows, columns=["text", "n_removed"])
-
-    cleaned = documents.withColumn("_cut", cut(F.col(text)))
-    return cleaned.withColumn(text, F.col("_cut.text")).withColumn("n_removed", F.col("_cut.n_removed")).drop("_cut")

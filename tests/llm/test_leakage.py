@@ -3,6 +3,7 @@
 import random
 import re
 
+from codestrata.llm import leakage
 from codestrata.llm.leakage import leaked_passages, without_passages
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda_mu nu Straße ÉCOLE 42 x".split()
@@ -46,3 +47,17 @@ def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert leaked_passages(docs, none).count() == 0
     assert without_passages(docs, none).first()["n_removed"] == 0
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(30))) for i in range(12)]
+    docs = [(d, "Some words first. " + items[d % 12][1] + "\nand " + items[(d * 5) % 12][1][:150] + " end", 7) for d in range(30)] + [(99, None, 7), (100, "", 7), (3, "clean", 7)]
+    ddf, idf = spark.createDataFrame(docs, "doc_id bigint, text string, n_removed int"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {(r["doc_id"], r["text"], r["n_removed"]) for r in without_passages(ddf, idf).collect()}
+    hits = sorted(map(str, leaked_passages(ddf, idf).collect()))
+    monkeypatch.setattr(leakage, "MAX_BROADCAST_NGRAMS", 40)
+    cut = without_passages(ddf, idf)
+    assert cut.columns == ["doc_id", "text", "n_removed"]
+    assert {(r["doc_id"], r["text"], r["n_removed"]) for r in cut.collect()} == whole
+    assert sorted(map(str, leaked_passages(ddf, idf).collect())) == hits
