@@ -2,8 +2,8 @@
 
 Hierarchical residual packing: every task packs its own items best-fit and lets go of the
 bins that are nearly full; the underfull bins become single items (their contents stay
-together) and go on to fewer tasks, each of which gets those of several former ones, until a
-single task can take the rest or a round no longer reduces them.  What crosses the network after the first round
+together) and go on to fewer tasks, each of which gets those of several former ones, until one
+task holds the rest or a round, grouped anew, saves no bin.  What crosses the network after the first round
 is one row per underfull bin, not the items.
 """
 
@@ -135,14 +135,14 @@ def pack(
         belongs.append(packed.select("window_name", "item", "bin"))
         if groups == 1:
             break
-        # nearly full bins are done; the others are the items of the next round, in fewer groups
+        # nearly full bins are done; the others are the items of the next round, dealt anew to as few groups as hold them
         left = packed.where(F.col("fill") < F.lit(nearly_full) * F.col("capacity"))
         open_items = left.groupBy("window_name", "capacity", F.col("bin").alias("item")).agg(F.sum("size").alias("size"))
-        n = open_items.count()
-        fewer = max(1, math.ceil(n / merge_items))
-        if fewer >= groups:  # the bins that are left do not combine: every one holds an item too long for company
+        bins = packed.select("window_name", "bin").distinct().count()
+        if bins == n:  # a whole round without a saving: the items that are left do not combine
             break
-        groups = fewer
+        n = open_items.count()
+        groups = max(1, math.ceil(n / merge_items))
     placed = loose.select("window_name", "doc_id", "part", "size", "item")
     for step in belongs:
         nxt = step.select("window_name", F.col("item").alias("_item"), "bin")
