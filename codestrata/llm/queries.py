@@ -9,7 +9,7 @@ from codestrata.llm.docpairs import function_documentation
 from codestrata.llm.leakage import leaked_passages, without_passages
 from codestrata.llm.packing import pack, token_counts, tokenizer_path
 from codestrata.llm.provenance import not_hand_written
-from codestrata.llm.spans import shared_coverage, shared_pairs, shared_windows
+from codestrata.llm.spans import class_members, class_pairs, shared_coverage, shared_pairs, shared_windows
 from codestrata.llm.syntax import extension_of, language_of, reports_bad_content, syntax_repairs
 from codestrata.operators.merge import latest
 from codestrata.sources.scratch import Scratch
@@ -145,12 +145,22 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(*_windows(spark, sf_dir))
 
 
+def p9_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different texts that share a run of at least 400 characters, each named by its smallest document."""
+    return class_pairs(_windows(spark, sf_dir)[0])
+
+
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document of at least 400 characters: the class of its text, copies, and other texts it shares a run with."""
+    return class_members(*_windows(spark, sf_dir))
+
+
 def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its length and how many of its characters lie in runs found in other documents."""
     return shared_coverage(*_windows(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_kinds, p5_rates, p6_found, p6_pairs, p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_kinds, p5_rates, p6_found, p6_pairs, p7_packing, p7_fill, p8_found, p8_leaked_items, p8_cleaned, p9_found, p9_class_pairs, p9_classes, p9_coverage)}
 
 _GRAMS = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
@@ -160,4 +170,51 @@ ig AS (SELECT DISTINCT id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT i
 hit AS (SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig ON dg.g = ig.g)
 """
 
-SQL: dict[str, str] = {"p8_found": _GRAMS + "SELECT doc_id, item_id FROM hit"}
+_PLACES = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12)),
+ig AS (SELECT DISTINCT id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) >= 12)),
+hit AS (SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id, dg.p FROM dg JOIN ig ON dg.g = ig.g)
+"""
+
+_SHARED = r"""
+WITH docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 400),
+same AS (SELECT text, min(doc_id) AS rep, count(*) AS n_copies FROM docs GROUP BY text),
+win AS (SELECT rep, p, md5(substr(text, p, 400)) AS h FROM (SELECT rep, text, unnest(range(1, length(text) - 398)) AS p FROM same)),
+shared AS (SELECT h FROM win GROUP BY h HAVING count(DISTINCT rep) > 1),
+member AS (SELECT DISTINCT h, rep FROM win WHERE h IN (SELECT h FROM shared)),
+linked AS (SELECT DISTINCT a.rep AS class_a, b.rep AS class_b FROM member a JOIN member b ON a.h = b.h AND a.rep < b.rep),
+cls AS (SELECT d.doc_id, d.n, s.rep, s.n_copies FROM docs d JOIN same s ON d.text = s.text)
+"""
+
+SQL: dict[str, str] = {
+    "p8_found": _GRAMS + "SELECT doc_id, item_id FROM hit",
+    "p8_leaked_items": _PLACES
+    + """, cov AS (SELECT doc_id, item_id, CAST(count(DISTINCT w) AS INTEGER) AS n_words
+  FROM (SELECT doc_id, item_id, unnest(range(p, p + 12)) AS w FROM hit) GROUP BY doc_id, item_id)
+SELECT item_id, count(*) AS n_documents, max(n_words) AS longest_words FROM cov GROUP BY item_id""",
+    "p8_cleaned": _PLACES
+    + r""", tok AS (SELECT id, t, i, w, t SIMILAR TO '[\p{L}\p{N}].*' AS is_word FROM (
+  SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) AS t, unnest(range(1, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) + 1)) AS i, 0 AS w
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM hit))),
+num AS (SELECT id, t, i, is_word, sum(CASE WHEN is_word THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS w FROM tok),
+gone AS (SELECT DISTINCT num.id, num.i FROM num JOIN (SELECT DISTINCT doc_id, p FROM hit) h
+  ON num.id = h.doc_id AND num.w >= h.p AND (CASE WHEN is_word THEN num.w <= h.p + 11 ELSE num.w <= h.p + 10 END)),
+kept AS (SELECT id, coalesce(string_agg(t, '' ORDER BY i), '') AS text FROM num WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = num.id AND gone.i = num.i) GROUP BY id)
+SELECT d.doc_id, CASE WHEN h.doc_id IS NULL THEN 0 ELSE CAST(length(d.text) - length(coalesce(k.text, '')) AS INTEGER) END AS n_removed,
+  sha256(CASE WHEN h.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END) AS text_sha256
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM hit) h ON d.doc_id = h.doc_id LEFT JOIN kept k ON d.doc_id = k.id""",
+    "p9_class_pairs": _SHARED + "SELECT class_a, class_b FROM linked",
+    "p9_found": _SHARED
+    + """SELECT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b
+FROM linked JOIN cls a ON a.rep = class_a JOIN cls b ON b.rep = class_b
+UNION SELECT a.doc_id, b.doc_id FROM cls a JOIN cls b ON a.rep = b.rep AND a.doc_id < b.doc_id""",
+    "p9_classes": _SHARED
+    + """, links AS (SELECT rep, count(*) AS n_links FROM (SELECT class_a AS rep FROM linked UNION ALL SELECT class_b FROM linked) GROUP BY rep)
+SELECT doc_id, cls.rep AS class_id, n_copies, coalesce(n_links, 0) AS n_links FROM cls LEFT JOIN links ON cls.rep = links.rep""",
+    "p9_coverage": _SHARED
+    + """, cov AS (SELECT rep, CAST(sum(len) AS BIGINT) AS covered FROM (
+  SELECT rep, least(400, coalesce(lead(p) OVER (PARTITION BY rep ORDER BY p) - p, 400)) AS len FROM win WHERE h IN (SELECT h FROM shared)) GROUP BY rep)
+SELECT doc_id, n AS n_chars, CASE WHEN n_copies > 1 THEN n ELSE coalesce(covered, 0) END AS shared_chars FROM cls LEFT JOIN cov ON cls.rep = cov.rep""",
+}

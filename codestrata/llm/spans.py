@@ -302,7 +302,9 @@ def shared_windows(
     total = shared.where(~hot).count()
     shards = max(1, math.ceil(total / SHARD_PIECES))
     usual = pieces.where(~hot).select("rep", "pos", "offset", "piece", F.lit(True).alias("indexed"), F.pmod("anchor", F.lit(shards)).alias("shard"))
-    windows = usual.groupBy("shard").applyInPandas(
+    # as many tasks as shards: merged by their bytes, a few tasks would search most of them
+    tasks = max(1, min(shards, spread_over(documents) * 4))
+    windows = usual.repartition(tasks, "shard").groupBy("shard").applyInPandas(
         lambda pdf: _search_shard(pdf, min_chars, gram), "group binary, rep bigint, span_from bigint, span_to bigint"
     )
     if not shared.where(hot).isEmpty():
@@ -338,16 +340,44 @@ def _hot_windows(pieces: DataFrame, scratch: Scratch, min_chars: int, gram: int)
     ).distinct()
 
 
+def spread_over(df: DataFrame) -> int:
+    """Tasks of a shuffle, as the session sets them."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def class_pairs(windows: DataFrame) -> DataFrame:
+    """(class_a, class_b), a < b: pairs of different texts that share a window, each text named by its smallest doc_id.
+
+    A group is cut into salts by its size before it meets itself, so that no task makes the pairs of a hot group alone.
+    """
+    return _pairs_in_groups(windows.where("span_from < 0").select("group", F.col("rep").alias("doc_id")).distinct()).withColumnsRenamed(
+        {"doc_id_a": "class_a", "doc_id_b": "class_b"}
+    )
+
+
+def class_members(windows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) per document: its text's smallest doc_id, the documents with that text and the other texts that share a window with it."""
+    pairs = class_pairs(windows)
+    ends = pairs.select(F.col("class_a").alias("rep")).unionByName(pairs.select(F.col("class_b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n_copies")).join(links, "rep", "left")
+    return classes.join(sizes, "rep").select("doc_id", F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def shared_pairs(windows: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b, of documents that share a window or their whole text.
 
-    A pair per two documents is the result asked for, copies included.  A group is cut into
-    salts by its size before it meets itself, so that no task makes the pairs of a hot group alone.
+    A pair per two documents is the result asked for, copies included; :func:`class_pairs` with
+    :func:`class_members` say the same without expanding copies.
     """
     groups = windows.where("span_from < 0").select("group", "rep").distinct()
     members = groups.join(classes.select("rep", "doc_id"), "rep").select("group", "doc_id")
     copies = classes.select(F.unhex(F.md5(F.col("rep").cast("string"))).alias("group"), "doc_id")
-    rows = members.unionByName(copies)
+    return _pairs_in_groups(members.unionByName(copies))
+
+
+def _pairs_in_groups(rows: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b, distinct, of the members (group, doc_id) of each group."""
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(sizes, "group").withColumn("salts", F.ceil(F.col("n") / 500).cast("int"))
     a = rows.select("group", F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"))
