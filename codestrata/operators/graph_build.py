@@ -202,3 +202,56 @@ def route_edges(routes: DataFrame, entries: DataFrame) -> DataFrame:
     exposed = _edge(routes, file_node_id(F.col("repository_id"), F.col("relative_path")), node, "EXPOSES_ROUTE")
     handled = _resolve(routes, entries, [F.col("handler_name")], "handler").where("handler is not null")
     return exposed.unionByName(_edge(handled, node, F.col("handler"), "CALLS"))
+
+
+def route_nodes(routes: DataFrame) -> DataFrame:
+    """One ApiRoute node per repository, method and path: the record that comes first by file and line."""
+    key = ["repository_id", "http_method", "path"]
+    rest = [c for c in ("relative_path", "start_line", "language", "handler_name") if c in routes.columns]
+    first = routes.where("http_method is not null and path is not null").groupBy(*key).agg(F.min(F.struct(*rest)).alias("_first"))
+    rows = first.select(*key, "_first.relative_path", "_first.language")
+    node = N.route_node_id(F.col("repository_id"), F.col("http_method"), F.col("path"))
+    label = F.concat_ws(" ", "http_method", "path")
+    return _node(rows, node, "ApiRoute", label, label, F.col("language"), F.col("relative_path"))
+
+
+#: Properties of a symbol node beside its fixed columns.
+NODE_PROPERTIES = ["documentation", "end_line", "is_async", "is_static", "return_type", "signature", "start_line", "visibility"]
+
+
+def symbol_properties(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """(node_id, properties): what is known of each symbol beside its fixed columns; blank values give no property.
+
+    Documentation is cut to 500 characters; flags are given where they are true.
+    """
+    pairs = []
+    for c in NODE_PROPERTIES:
+        if c not in rows.columns:
+            continue
+        text = F.substring(c, 1, 500) if c == "documentation" else F.when(F.col(c), "true") if c.startswith("is_") else F.col(c).cast("string")
+        pairs.append(F.struct(F.lit(c).alias("key"), F.nullif(text, F.lit("")).alias("value")))
+    held = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+    return rows.select(F.col(id_col).alias("node_id"), held.alias("properties"))
+
+
+def merge_properties(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """(node_id, properties) of both; where both have a property of a node the newer value stays.  Ids are unique in each."""
+    new = newer.select(F.col("node_id").alias("_id"), F.col("properties").alias("_new"))
+    both = older.join(new, F.col("node_id") == F.col("_id"), "full_outer")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    old, fresh = F.coalesce("properties", empty), F.coalesce("_new", empty)
+    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(fresh, k))
+    return both.select(F.coalesce("node_id", "_id").alias("node_id"), F.map_concat(kept, fresh).alias("properties"))
+
+
+def dropped_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(edge, reason) columns of the edges that the validator drops: blank end, self-loop, unknown source or unknown target, the first that holds."""
+    known = nodes.select("node_id").distinct()
+    src = known.select(F.col("node_id").alias("source_id"), F.lit(True).alias("_s"))
+    dst = known.select(F.col("node_id").alias("target_id"), F.lit(True).alias("_t"))
+    blank = lambda c: F.coalesce(F.length(N.strip(F.col(c))), F.lit(0)) == 0
+    reason = (
+        F.when(blank("source_id") | blank("target_id"), "blank").when((F.col("source_id") == F.col("target_id")) & (F.col("edge_type") != "CALLS"), "self loop")
+        .when(F.col("_s").isNull(), "unknown source").when(F.col("_t").isNull(), "unknown target")
+    )
+    return edges.join(src, "source_id", "left").join(dst, "target_id", "left").withColumn("reason", reason).where("reason is not null").drop("_s", "_t")

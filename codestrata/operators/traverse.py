@@ -61,9 +61,14 @@ def shortest_paths(pairs: DataFrame, wanted: DataFrame, max_depth: int, scratch:
 def cycles(pairs: DataFrame, max_length: int, scratch: Scratch, separator: str = " > ") -> DataFrame:
     """(length, path) of the simple cycles of 2 to ``max_length`` edges, each once, from its least node on.
 
+    Edges that cannot lie on a cycle are peeled off first, so that no walk passes through a hub that leads nowhere.
     A path only grows over nodes greater than its first, so that no rotation is made twice.
     """
-    pairs = scratch.save(pairs.where("src <> dst").select("src", "dst").distinct())
+    pairs = pairs.where("src <> dst").select("src", "dst").distinct()
+    inner = scratch.save(cyclic_nodes(pairs, scratch))
+    pairs = scratch.save(
+        pairs.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    )
     walks = scratch.save(pairs.where("src < dst").select(F.array("src", "dst").alias("walk")))
     found = []
     for length in range(2, max_length + 1):
@@ -119,3 +124,23 @@ def longest_chain(pairs: DataFrame, max_hops: int, scratch: Scratch, separator:
             break
         level, hops = nxt, hops + 1
     return level.agg(F.min("path").alias("path")).select(F.lit(hops).alias("hops"), "path")
+
+
+def trails(edges: DataFrame, hops: int, scratch: Scratch) -> DataFrame:
+    """(start, node, hops): what undirected trails of up to ``hops`` edges reach; edges are not repeated, nodes may be.
+
+    So the start is among its own nodes where a closed trail leads back to it.  ``edges`` are (source_id, target_id,
+    edge_type); hops is the least number.
+    """
+    named = edges.select("source_id", "target_id", "edge_type").distinct().withColumn("edge", F.xxhash64("source_id", "target_id", "edge_type"))
+    out = named.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "edge")
+    back = named.where("source_id <> target_id").select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), "edge")
+    steps = scratch.save(out.unionByName(back))
+    walks = scratch.save(steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("edge").alias("used")))
+    found = [walks.select("start", "node", F.lit(1).alias("hops"))]
+    for n in range(2, hops + 1):
+        grown = walks.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("used", F.col("edge")))
+        grown = grown.select("start", F.col("dst").alias("node"), F.array_sort(F.array_append("used", F.col("edge"))).alias("used")).distinct()
+        walks = scratch.save(grown)
+        found.append(walks.select("start", "node", F.lit(n).alias("hops")))
+    return reduce(DataFrame.unionByName, found).groupBy("start", "node").agg(F.min("hops").alias("hops"))

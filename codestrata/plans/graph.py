@@ -13,6 +13,7 @@ from codestrata.operators import graph_query as G
 from codestrata.operators import index as I
 from codestrata.operators import scan as S
 from codestrata.operators import traverse as T
+from codestrata.parsing import definitions as D
 from codestrata.parsing import records as P
 from codestrata.plans.catalog import current, entries, files, jobs, repositories
 from codestrata.sources.scratch import Scratch
@@ -226,6 +227,37 @@ def parsed_inherit_edges(spark, sf_dir):
     return B.merge_edges(B.inheritance_edges(c, e)).select("source_id", "target_id", "edge_type")
 
 
+def _definitions(spark, sf_dir) -> DataFrame:
+    return D.definitions(read_table(spark, sf_dir, "source_files"))
+
+
+def parsed_recorded(spark, sf_dir):
+    """What the texts say of every recorded function: names, scope, kind, lists, ends and signature."""
+    recorded = read_table(spark, sf_dir, "function_definitions", "file_id", "function_name", "start_line").distinct()
+    f = D.functions(_definitions(spark, sf_dir)).join(recorded, ["file_id", "function_name", "start_line"], "left_semi")
+    return f.select(
+        "file_id", "function_name", "start_line", "end_line", "qualified_name", "is_method", "is_constructor", "is_async", "is_static",
+        F.array_join("parameters", ",").alias("parameters"), F.array_join("decorators", ",").alias("decorators"), "signature",
+    )
+
+
+def parsed_types(spark, sf_dir):
+    """Classes, interfaces, enums, structs and records of the sources, with bases, interfaces, decorators and ends."""
+    t = D.types(_definitions(spark, sf_dir))
+    return t.select(*[F.array_join(c, ",").alias(c) if c in ("base_classes", "interfaces", "decorators") else c for c in t.columns])
+
+
+def parsed_variables(spark, sf_dir):
+    """Constants and variables of the sources."""
+    return D.variables(_definitions(spark, sf_dir))
+
+
+def parsed_documentation(spark, sf_dir):
+    """Functions and types of the sources with a comment of their own, without its marks."""
+    d = _definitions(spark, sf_dir).where("kind <> 'variable' and doc is not null")
+    return d.select("file_id", "name", "start_line", D.documentation(F.col("doc"), F.col("language")).alias("documentation"))
+
+
 def job_states(spark, sf_dir):
     """Every repository with its index state: jobs seen, entries stored, or NOT_STARTED."""
     r = repositories(spark, sf_dir).select(F.col("id").alias("repository_id"))
@@ -239,7 +271,7 @@ def job_states(spark, sf_dir):
 
 _NAMES = """node_counts contains_edges defines_edges call_edges edges_valid neighbours_both call_graph unused unused_compat orphan_classes graph_counts
 k_hop_calls expand_inherits shortest_definition cycles_calls cycles_calls_6 has_cycle longest_chain induced_classes delete_incremental library_of_objects
-parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
+parsed_recorded parsed_types parsed_variables parsed_documentation parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _LABEL = "CASE " + " ".join(f"WHEN symbol_type = '{a}' THEN '{b}'" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())) + " ELSE 'Variable' END"
@@ -301,4 +333,7 @@ SELECT r.id AS repository_id, coalesce(nj.n, 0) AS n_jobs, coalesce(ne.n, 0) AS
 FROM r LEFT JOIN ne ON ne.repository_id = r.id LEFT JOIN nj ON nj.repository_id = r.id""",
     "library_of_objects": "SELECT DISTINCT callee_object, CASE WHEN callee_object LIKE '%/%' AND callee_object LIKE '%.%' THEN string_split(rtrim(callee_object, '/'), '/')[-1] ELSE regexp_extract(callee_object, '^[^./]*', 0) END AS library FROM calls WHERE callee_object IS NOT NULL",
 }
+SQL["parsed_recorded"] = """SELECT DISTINCT file_id, function_name, start_line, end_line, qualified_name, is_method, is_constructor, is_async, is_static,
+array_to_string(parameters, ',') AS parameters, array_to_string(decorators, ',') AS decorators, signature FROM function_definitions
+WHERE file_id IN (SELECT file_id FROM source_files WHERE source IS NOT NULL)"""
 SQL["cycles_calls_6"] = SQL["cycles_calls"].replace("len(w.p) < 4", "len(w.p) < 6")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.plans import catalog, graph, problems, records
+from codestrata.plans import catalog, graph, lookups, problems, records
 
-_MODULES = [catalog, graph, records, problems]
+_MODULES = [catalog, graph, records, lookups, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
