@@ -56,6 +56,11 @@ def map_routes(routes: DataFrame) -> DataFrame:
     return _entry(rows, F.lit("route"), F.col("handler_name"), namespace=F.col("framework"))
 
 
+def map_symbols(symbols: DataFrame) -> DataFrame:
+    """Constants, variables and fields (variable_name, symbol_type, ...) to index entries."""
+    return _entry(symbols, F.col("symbol_type"), F.col("variable_name"), flags=True)
+
+
 def map_records(*entry_sets: DataFrame) -> DataFrame:
     """Entry sets in order of authority, each entry with the rank of its set; later sets lose names that an earlier one has in the same file."""
     ranked = [df.select(ENTRY_COLUMNS).withColumn("source_rank", F.lit(i)) for i, df in enumerate(entry_sets)]

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.parsing import statements
 from codestrata.parsing.outline import outline
+from codestrata.parsing.records import _KEYWORDS as KEYWORDS
 
 _OUTLINE = (
     "array<struct<kind string, keyword string, name string, chain string, owner string, start_line int, end_line int, header string,"
@@ -25,6 +27,74 @@ def definitions(sources: DataFrame) -> DataFrame:
     return rows.select("file_id", "repository_id", "relative_path", "language", F.inline(read("source", "language")))
 
 
+def _read(sources: DataFrame, helper, fields: str) -> DataFrame:
+    rows = sources.where(F.col("language").isin(LANGUAGES) & F.col("source").isNotNull())
+    read = F.udf(helper, f"array<struct<{fields}>>", useArrow=True)
+    return rows.select("file_id", "repository_id", "relative_path", "language", F.inline(read("source", "language")))
+
+
+def imports(sources: DataFrame) -> DataFrame:
+    """Import records: module_path, names, aliases (in the order of the names, empty without one), is_relative, start_line."""
+    return _read(sources, statements.imports, "module_path string, names array<string>, aliases array<string>, is_relative boolean, start_line int")
+
+
+def comments(sources: DataFrame) -> DataFrame:
+    """Comment records: kind (docstring, doc, block, line), lines, raw text, and the declaration it documents."""
+    return _read(sources, statements.comments, "kind string, start_line int, end_line int, text string, symbol string")
+
+
+def calls(sources: DataFrame) -> DataFrame:
+    """Call records: caller_name, callee_name, callee_object, start_line, repeats in a line once.
+
+    A call outside of any function has the placeholder of its language as caller.  The object is the text before
+    the dot, its strings emptied; it may hold calls itself.
+    """
+    found = _read(sources, statements.calls, "start_line int, caller_name string, callee_name string, callee_object string")
+    # after a dot, a keyword is a name like any other
+    return found.where(~F.col("callee_name").isin(KEYWORDS) | F.col("callee_object").isNotNull()).select(
+        "file_id", "repository_id", "language", "caller_name", "callee_name", "callee_object", "start_line"
+    ).distinct()
+
+
+_VERBS = "get|post|put|delete|patch|head|options"
+
+
+def routes(sources: DataFrame) -> DataFrame:
+    """Route records: http_method, path, handler_name, framework, start_line.
+
+    Decorated or annotated functions (FastAPI, Flask, NestJS, Spring) are their own handlers; routes registered by a call
+    (Express, Gin, Echo, net/http) have the last argument of the call, where it is a name.
+    """
+    lang = F.col("language")
+    mark = definitions(sources).where("kind = 'function'").select(
+        "file_id", "repository_id", "relative_path", "language", F.concat_ws(".", "owner", "name").alias("handler_name"), "start_line", F.explode("above").alias("mark")
+    )
+    verb = F.upper(F.coalesce(
+        F.nullif(F.regexp_extract("mark", rf"^@\w+\.({_VERBS})\(", 1), F.lit("")), F.nullif(F.regexp_extract("mark", rf"(?i)^@({_VERBS})(?:Mapping)?\b", 1), F.lit("")),
+        F.nullif(F.regexp_extract("mark", r"methods\s*=\s*[\[(]\s*['\"](\w+)", 1), F.lit("")), F.nullif(F.regexp_extract("mark", r"RequestMethod\.(\w+)", 1), F.lit("")),
+    ))
+    named = F.regexp_extract("mark", r"^@[\w.]+\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*['\"]([^'\"]*)['\"]", 1)
+    framework = (
+        F.when((lang == "Python") & F.col("mark").rlike(r"^@\w+\.route\("), "flask").when((lang == "Python") & F.col("mark").rlike(rf"^@\w+\.(?:{_VERBS})\("), "fastapi")
+        .when((lang == "TypeScript") & F.col("mark").rlike(r"^@(?:Get|Post|Put|Delete|Patch|Head|Options|All)\("), "nestjs")
+        .when((lang == "Java") & F.col("mark").rlike(r"^@(?:Get|Post|Put|Delete|Patch|Request)Mapping\b"), "spring")
+    )
+    marked = mark.withColumn("framework", framework).where("framework is not null").select(
+        "file_id", "repository_id", "relative_path", "language", F.coalesce(verb, F.lit("GET")).alias("http_method"),
+        F.coalesce(F.nullif(named, F.lit("")), F.lit("/")).alias("path"), "handler_name", "framework", "start_line",
+    )
+    calls = _read(sources, statements.called_routes, "receiver string, verb string, path string, handler_name string, start_line int")
+    by_call = (
+        F.when(lang != "Go", "express").when(F.col("verb").isin("HandleFunc", "Handle"), "net/http").when(F.col("receiver").isin("r", "router", "group"), "gin").otherwise("echo")
+    )
+    kept = (lang != "Go") | F.col("verb").rlike(r"^[A-Z]")
+    method = F.when(F.col("verb").isin("HandleFunc", "Handle"), "ANY").otherwise(F.upper("verb"))
+    called = calls.where(kept).select(
+        "file_id", "repository_id", "relative_path", "language", method.alias("http_method"), "path", "handler_name", by_call.alias("framework"), "start_line"
+    )
+    return marked.unionByName(called)
+
+
 def _is(*languages: str) -> Column:
     return F.col("language").isin(*languages)
 

@@ -53,6 +53,22 @@ def _split(text: str) -> list[str]:
     return [" ".join(p.split()) for p in parts if p.strip()]
 
 
+def masked(text: str, family: str) -> tuple[str, dict[int, tuple[int, int]], dict[int, int]]:
+    """(text with comments blank and strings underlined, span of each comment by its end, end of each string by its start)."""
+    notes: dict[int, tuple[int, int]] = {}
+    strings: dict[int, int] = {}
+
+    def mask(m: re.Match) -> str:
+        t = m.group()
+        if t[0] in "#/":
+            notes[m.end()] = m.span()
+            return "".join("\n" if c == "\n" else " " for c in t)
+        strings[m.start()] = m.end()
+        return "".join("\n" if c == "\n" else "_" for c in t)
+
+    return _MASKED[family].sub(mask, text), notes, strings
+
+
 def outline(source: str | None, language: str | None) -> list[tuple]:
     """(kind, keyword, name, chain, owner, start_line, end_line, header, parameters, result, above, doc, n_inner) in order of place.
 
@@ -64,18 +80,7 @@ def outline(source: str | None, language: str | None) -> list[tuple]:
     if not source or family not in _MASKED:
         return []
     text = source.replace("\r\n", "\n").replace("﻿", "")
-    notes: dict[int, tuple[int, int]] = {}  # end of a comment -> its span
-    strings: dict[int, int] = {}
-
-    def mask(m: re.Match) -> str:
-        t = m.group()
-        if t[0] in "#/":
-            notes[m.end()] = m.span()
-            return "".join("\n" if c == "\n" else " " for c in t)
-        strings[m.start()] = m.end()
-        return "".join("\n" if c == "\n" else "_" for c in t)
-
-    code = _MASKED[family].sub(mask, text)
+    code, notes, strings = masked(text, family)
     closing = {b: a for a, b in _partners(code).items()}
     breaks = [m.start() for m in re.finditer("\n", text)]
     line = lambda at: bisect_right(breaks, at - 1) + 1

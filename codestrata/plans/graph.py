@@ -165,70 +165,79 @@ def library_of_objects(spark, sf_dir):
     return c.select("callee_object", N.library_name(F.col("callee_object")).alias("library"))
 
 
-def _declared(spark, sf_dir) -> DataFrame:
-    return P.declared(P.source_lines(read_table(spark, sf_dir, "source_files")))
+def _definitions(spark, sf_dir) -> DataFrame:
+    return D.definitions(read_table(spark, sf_dir, "source_files"))
 
 
 def parsed_functions(spark, sf_dir):
-    return P.functions(_declared(spark, sf_dir))
+    f = D.functions(_definitions(spark, sf_dir))
+    return f.select("file_id", "repository_id", "language", "function_name", "qualified_name", "is_method", "is_async", "visibility", "start_line", "signature")
 
 
 def parsed_classes(spark, sf_dir):
-    return P.classes(_declared(spark, sf_dir)).withColumn("base_classes", F.array_join("base_classes", ","))
+    t = D.types(_definitions(spark, sf_dir)).withColumn("base_classes", F.array_join("base_classes", ","))
+    return t.select("file_id", "repository_id", "language", "class_name", "qualified_name", "base_classes", "start_line")
 
 
 def parsed_imports(spark, sf_dir):
-    return P.imports(P.source_lines(read_table(spark, sf_dir, "source_files")))
+    i = D.imports(read_table(spark, sf_dir, "source_files"))
+    return i.select("file_id", "repository_id", "relative_path", "language", "module_path", "is_relative", "start_line")
 
 
 def parsed_calls(spark, sf_dir):
-    return P.calls(_declared(spark, sf_dir))
+    return D.calls(read_table(spark, sf_dir, "source_files"))
 
 
 def parsed_routes(spark, sf_dir):
-    return P.routes(_declared(spark, sf_dir))
+    """Routes that the sources declare or register, with their framework."""
+    return D.routes(read_table(spark, sf_dir, "source_files"))
+
+
+def parsed_import_names(spark, sf_dir):
+    """Import statements of the sources with the names they bring in."""
+    i = D.imports(read_table(spark, sf_dir, "source_files"))
+    return i.select(*[F.array_join(c, ",").alias(c) if c in ("names", "aliases") else c for c in i.columns])
+
+
+def parsed_notes(spark, sf_dir):
+    """Comments and docstrings of the sources, with what they document."""
+    return D.comments(read_table(spark, sf_dir, "source_files")).select("file_id", "kind", "start_line", "end_line", F.md5("text").alias("text_md5"), "symbol")
 
 
 def parsed_comments(spark, sf_dir):
+    """Runs of comment lines of the sources."""
     return P.comment_blocks(P.source_lines(read_table(spark, sf_dir, "source_files")))
 
 
 def parsed_import_edges(spark, sf_dir):
     """Imports of the sources resolved to symbols or packages."""
     # extracted records are a table of their own, as every later step reads them
-    i = Scratch(spark, "imports").save(P.imports(P.source_lines(read_table(spark, sf_dir, "source_files"))))
+    i = Scratch(spark, "imports").save(parsed_imports(spark, sf_dir))
     e = entries(spark, sf_dir)
     libs = B.library_nodes(B.external_imports(i, e))
     return B.merge_edges(B.import_edges(i, e, libs)).select("source_id", "target_id", "edge_type")
 
 
 def parsed_index(spark, sf_dir):
-    """Functions and classes of the sources as index entries, linked to their parents."""
-    scratch = Scratch(spark, "records")
-    rows = scratch.save(_declared(spark, sf_dir).where("function_name is not null or class_name is not null"))
+    """Types, functions, routes and other symbols of the sources as index entries, linked to their parents."""
+    sources = read_table(spark, sf_dir, "source_files")
+    d = Scratch(spark, "records").save(D.definitions(sources))
     null = F.lit(None).cast("string")
-    paths = read_table(spark, sf_dir, "source_files", "file_id", "relative_path")
-    fn = P.functions(rows).join(paths, "file_id").select(
-        "*", P.is_constructor().alias("is_constructor"), F.lit(False).alias("is_static"), null.alias("return_type"), null.alias("documentation"),
+    plain = D.variables(d).select(
+        "*", F.lit(False).alias("is_static"), F.lit(False).alias("is_async"), null.alias("signature"), null.alias("return_type"), null.alias("documentation"),
         F.col("start_line").alias("end_line"),
     )
-    cl = P.classes(rows).join(paths, "file_id").select(
-        "*", F.lit("class").alias("class_kind"), F.lit("public").alias("visibility"), null.alias("documentation"), F.col("start_line").alias("end_line"),
-    )
-    linked = I.link_parents(I.index_entries(I.map_records(I.map_classes(cl), I.map_functions(fn))))
+    sets = [I.map_classes(D.types(d)), I.map_functions(D.functions(d)), I.map_routes(D.routes(sources)), I.map_symbols(plain)]
+    linked = I.link_parents(I.index_entries(I.map_records(*sets)))
     return linked.select("id", "repository_id", "qualified_name", "symbol_type", "language", "parent_symbol_id")
 
 
 def parsed_inherit_edges(spark, sf_dir):
-    """Bases of the classes in the sources, resolved to the entries of the parsed index."""
+    """Bases and interfaces of the types in the sources, resolved to the entries of the parsed index."""
     scratch = Scratch(spark, "inherits")
     e = scratch.save(parsed_index(spark, sf_dir))
-    c = scratch.save(P.classes(_declared(spark, sf_dir)))
-    return B.merge_edges(B.inheritance_edges(c, e)).select("source_id", "target_id", "edge_type")
-
-
-def _definitions(spark, sf_dir) -> DataFrame:
-    return D.definitions(read_table(spark, sf_dir, "source_files"))
+    c = scratch.save(D.types(_definitions(spark, sf_dir)))
+    return B.merge_edges(B.inheritance_edges(c, e).unionByName(B.implements_edges(c, e))).select("source_id", "target_id", "edge_type")
 
 
 def parsed_recorded(spark, sf_dir):
@@ -271,7 +280,7 @@ def job_states(spark, sf_dir):
 
 _NAMES = """node_counts contains_edges defines_edges call_edges edges_valid neighbours_both call_graph unused unused_compat orphan_classes graph_counts
 k_hop_calls expand_inherits shortest_definition cycles_calls cycles_calls_6 has_cycle longest_chain induced_classes delete_incremental library_of_objects
-parsed_recorded parsed_types parsed_variables parsed_documentation parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
+parsed_recorded parsed_import_names parsed_notes parsed_types parsed_variables parsed_documentation parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _LABEL = "CASE " + " ".join(f"WHEN symbol_type = '{a}' THEN '{b}'" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())) + " ELSE 'Variable' END"

@@ -1,5 +1,6 @@
 """Calls on the results of other calls, and in the bodies of declarations of one line."""
 
+from codestrata.parsing import definitions as D
 from codestrata.parsing import records as P
 
 CHAINS = [
@@ -31,3 +32,12 @@ def test_chained_calls_and_bodies_of_one_line(spark):
         (2, "f", "x", "y"), (2, "f", "load(...rest(a)).then((x)=>x.y())", "catch"),
     }
     assert got["4"] == {(2, "(T).Run", "t", "a"), (2, "(T).Run", "t.a()", "b"), (2, "(T).Run", "c[0]", "d")}
+
+
+def test_calls_by_outline_are_the_same(spark):
+    df = spark.createDataFrame(CHAINS, "file_id string, repository_id string, relative_path string, language string, source string")
+    flat = lambda rows: {(r["file_id"], r["start_line"], "".join((r["callee_object"] or "").replace("_s_", '""').split()), r["callee_name"]) for r in rows}
+    new = D.calls(df).collect()
+    assert flat(new) == flat(P.calls(P.declared(P.source_lines(df))).collect())
+    callers = {(r["file_id"], r["start_line"]): r["caller_name"] for r in new}
+    assert callers[("1", 4)] == "A.run" and callers[("2", 3)] == "<module>" and callers[("3", 2)] == "<module>" and callers[("4", 2)] == "(T).Run"

@@ -134,3 +134,26 @@ def test_records(spark):
     assert (t["Circle"]["base_classes"], t["Circle"]["interfaces"], t["Shape"]["base_classes"], t["Box"]["class_kind"]) == (["Base"], ["Shape"], ["A", "B"], "struct")
     v = {(r["file_id"], r["variable_name"]): r["symbol_type"] for r in D.variables(d).collect()}
     assert v == {("p", "LIMIT"): "constant", ("p", "name"): "variable", ("j", "LIMIT"): "constant", ("j", "names"): "variable", ("t", "count"): "variable", ("g", "Max"): "constant", ("g", "total"): "variable"}
+
+
+def test_imports_comments_and_routes(spark):
+    py = "import os, a.b as c\nfrom . import (x as y,\n  z)\nfrom ..p import *\n# one\n# two\nx = 1  # three\n@app.get('/items/{id}')\nasync def item(id):\n    '''Doc.'''\n@bp.route('/f', methods=['POST', 'PUT'])\ndef f(): pass\ns = 'import no'\n"
+    ts = "import d, { a, b as c } from './m';\nimport * as n from \"pkg\";\nimport 'side';\nconst { r } = require('q');\n/** Doc of g. */\nfunction g() {}\napp.get('/x', auth, handler)\n// app.get('/no', f)\nclass C {\n  @Post('make')\n  make() { return 1 }\n}\n"
+    java = "package p;\nimport java.util.*;\nimport static a.B.c;\n/* block */\nclass A {\n  @RequestMapping(value = \"/r\", method = RequestMethod.PUT)\n  public void put() {}\n  @GetMapping\n  public void all() {}\n}\n"
+    go = "package p\nimport \"fmt\"\nimport (\n\tx \"a/b\"\n\t. \"c\"\n)\nfunc main() {\n\tr.GET(\"/g\", list)\n\te.POST(\"/e\", make)\n\thttp.HandleFunc(\"/h\", serve)\n}\n"
+    rows = [("p", "r", "a.py", "Python", py), ("t", "r", "a.ts", "TypeScript", ts), ("j", "r", "A.java", "Java", java), ("g", "r", "a.go", "Go", go), ("n", "r", None, "Go", None)]
+    src = spark.createDataFrame(rows, "file_id string, repository_id string, relative_path string, language string, source string")
+    got = {(r["file_id"], r["module_path"], tuple(r["names"]), tuple(r["aliases"]), r["is_relative"], r["start_line"]) for r in D.imports(src).collect()}
+    assert got == {
+        ("p", "os", (), (), False, 1), ("p", "a.b", (), ("c",), False, 1), ("p", ".", ("x", "z"), ("y", ""), True, 2), ("p", "..p", ("*",), ("",), True, 4),
+        ("t", "./m", ("d", "a", "b"), ("", "", "c"), True, 1), ("t", "pkg", ("*",), ("",), False, 2), ("t", "side", (), (), False, 3), ("t", "q", ("r",), ("",), False, 4),
+        ("j", "java.util", ("*",), ("",), False, 2), ("j", "a.B.c", ("c",), ("",), False, 3),
+        ("g", "fmt", (), (), False, 2), ("g", "a/b", (), ("x",), False, 4), ("g", "c", (), (".",), False, 5),
+    }
+    notes = {(r["file_id"], r["kind"], r["start_line"], r["end_line"], r["symbol"]) for r in D.comments(src).collect()}
+    assert notes == {("p", "line", 5, 6, None), ("p", "line", 7, 7, None), ("p", "docstring", 10, 10, "item"), ("t", "doc", 5, 5, "g"), ("t", "line", 8, 8, None), ("j", "block", 4, 4, None)}
+    routes = {(r["file_id"], r["framework"], r["http_method"], r["path"], r["handler_name"]) for r in D.routes(src).collect()}
+    assert routes == {
+        ("p", "fastapi", "GET", "/items/{id}", "item"), ("p", "flask", "POST", "/f", "f"), ("t", "express", "GET", "/x", "handler"), ("t", "nestjs", "POST", "make", "C.make"),
+        ("j", "spring", "PUT", "/r", "A.put"), ("j", "spring", "GET", "/", "A.all"), ("g", "gin", "GET", "/g", "list"), ("g", "echo", "POST", "/e", "make"), ("g", "net/http", "ANY", "/h", "serve"),
+    }

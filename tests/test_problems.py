@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from codestrata.operators import hierarchy as H
-from codestrata.operators.merge import batched_upsert_winners, duplicate_stats, keep_first, latest, upsert
+from codestrata.operators.merge import batched_upsert_winners, duplicate_stats, keep_first, latest, numbered, upsert
 from codestrata.operators.orphans import bloom_filter, key_filter, orphans
 from codestrata.operators.skew import compress, heavy_keys, weighted_percentiles, weighted_summary
 from codestrata.sources.scratch import Scratch
@@ -192,6 +192,15 @@ def test_batched_upsert_first_in_batch_last_batch_wins(spark):
     assert [r["path"] for r in won] == ["f02"]
 
 
+def test_numbering_of_hot_scopes(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "a", None]), f"p{i:04d}") for i in rng.sample(range(9999), 300)]
+    df = spark.createDataFrame(rows, "repo string, path string")
+    want = {(s, p): i for s in {r[0] for r in rows} for i, p in enumerate(sorted(p for t, p in rows if t == s))}
+    for hot in (20, 1000):
+        assert {(r["repo"], r["path"]): r["n"] for r in numbered(df, "repo", "path", "n", hot).collect()} == want
+
+
 def test_scratch_rounds(spark):
     s = Scratch(spark, "test")
     a = s.save(spark.range(5).toDF("x"))
