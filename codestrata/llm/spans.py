@@ -294,10 +294,11 @@ def shared_windows(
     shared = scratch.save(places.select("anchor", "rep", "pos").join(several, "anchor"))
     reach = min_chars - gram
     start = F.greatest(F.lit(0), F.col("pos") - reach)
-    pieces = shared.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select(
+    # written once: the usual and the hot anchors both read it, and the texts are shuffled once
+    pieces = scratch.save(shared.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select(
         "anchor", "rep", "pos", "n_pieces", (F.col("pos") - start).cast("int").alias("offset"),
         F.substring("text", (start + 1).cast("int"), (F.col("pos") - start + min_chars).cast("int")).alias("piece"),
-    )
+    ))
     hot = F.col("n_pieces") > SHARD_PIECES
     total = shared.where(~hot).count()
     shards = max(1, math.ceil(total / SHARD_PIECES))
@@ -331,7 +332,7 @@ def _hot_windows(pieces: DataFrame, scratch: Scratch, min_chars: int, gram: int)
         "key", "rep_a", "rep_b", "offset", "piece",
         F.concat_ws(":", "anchor", F.least("own", "other"), F.greatest("own", "other")).alias("shard"),
     )
-    found = spread.groupBy("shard").applyInPandas(
+    found = spread.repartition(spread_over(pieces) * 4, "shard").groupBy("shard").applyInPandas(
         lambda pdf: _search_blocks(pdf, min_chars, gram), "group binary, key binary, span_from bigint, span_to bigint"
     )
     here = F.when(F.col("span_from") < 0, F.lit(0)).otherwise(F.col("origin"))
