@@ -6,103 +6,104 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The file extensions of each language.
-LANGUAGE_EXTENSIONS = """
-Python: py pyw pyi
-Java: java
-JavaScript: js jsx mjs cjs
-TypeScript: ts tsx d.ts
-Go: go
-C: c h
-C++: cpp cc cxx c++ hpp hh hxx
-Rust: rs
-Kotlin: kt kts
-Swift: swift
-PHP: php phtml
-Ruby: rb rake gemspec
-Markdown: md mdx markdown
-JSON: json jsonc json5
-YAML: yaml yml
-Terraform: tf tfvars
-Shell: sh bash zsh fish ksh
-HTML: html htm xhtml
-CSS: css scss sass less
-SQL: sql ddl dml
-"""
+LANGUAGE_EXTENSIONS: dict[str, list[str]] = {
+    "Python": ["py", "pyw", "pyi"],
+    "Java": ["java"],
+    "JavaScript": ["js", "jsx", "mjs", "cjs"],
+    "TypeScript": ["ts", "tsx", "d.ts"],
+    "Go": ["go"],
+    "C": ["c", "h"],
+    "C++": ["cpp", "cc", "cxx", "c++", "hpp", "hh", "hxx"],
+    "Rust": ["rs"],
+    "Kotlin": ["kt", "kts"],
+    "Swift": ["swift"],
+    "PHP": ["php", "phtml"],
+    "Ruby": ["rb", "rake", "gemspec"],
+    "Markdown": ["md", "mdx", "markdown"],
+    "JSON": ["json", "jsonc", "json5"],
+    "YAML": ["yaml", "yml"],
+    "Terraform": ["tf", "tfvars"],
+    "Shell": ["sh", "bash", "zsh", "fish", "ksh"],
+    "HTML": ["html", "htm", "xhtml"],
+    "CSS": ["css", "scss", "sass", "less"],
+    "SQL": ["sql", "ddl", "dml"],
+}
 
 # The MIME type of each extension.
-MIME_EXTENSIONS = """
-text/x-python: py pyw pyi
-text/x-java-source: java
-application/javascript: js mjs cjs
-text/jsx: jsx
-application/typescript: ts
-text/tsx: tsx
-text/x-go: go
-text/x-csrc: c
-text/x-chdr: h
-text/x-c++src: cpp cc cxx
-text/x-c++hdr: hpp hh
-text/x-rustsrc: rs
-text/x-kotlin: kt kts
-text/x-swift: swift
-text/x-php: php
-text/x-ruby: rb
-application/x-sh: sh bash zsh
-text/html: html htm
-application/xhtml+xml: xhtml
-text/css: css
-text/x-scss: scss
-text/x-sass: sass
-text/x-less: less
-text/markdown: md mdx markdown
-application/json: json jsonc
-application/x-yaml: yaml yml
-application/xml: xml
-application/sql: sql
-text/x-terraform: tf tfvars
-application/toml: toml
-text/plain: ini cfg conf env txt
-text/x-rst: rst
-application/zip: zip
-application/x-tar: tar
-application/gzip: gz
-application/x-7z-compressed: 7z
-application/vnd.microsoft.portable-executable: exe dll
-application/x-sharedlib: so
-application/x-archive: a
-application/x-object: o
-application/octet-stream: pyc
-application/java-vm: class
-image/png: png
-image/jpeg: jpg jpeg
-image/gif: gif
-image/x-icon: ico
-image/svg+xml: svg
-image/webp: webp
-"""
+MIME_EXTENSIONS: dict[str, list[str]] = {
+    "text/x-python": ["py", "pyw", "pyi"],
+    "text/x-java-source": ["java"],
+    "application/javascript": ["js", "mjs", "cjs"],
+    "text/jsx": ["jsx"],
+    "application/typescript": ["ts"],
+    "text/tsx": ["tsx"],
+    "text/x-go": ["go"],
+    "text/x-csrc": ["c"],
+    "text/x-chdr": ["h"],
+    "text/x-c++src": ["cpp", "cc", "cxx"],
+    "text/x-c++hdr": ["hpp", "hh"],
+    "text/x-rustsrc": ["rs"],
+    "text/x-kotlin": ["kt", "kts"],
+    "text/x-swift": ["swift"],
+    "text/x-php": ["php"],
+    "text/x-ruby": ["rb"],
+    "application/x-sh": ["sh", "bash", "zsh"],
+    "text/html": ["html", "htm"],
+    "application/xhtml+xml": ["xhtml"],
+    "text/css": ["css"],
+    "text/x-scss": ["scss"],
+    "text/x-sass": ["sass"],
+    "text/x-less": ["less"],
+    "text/markdown": ["md", "mdx", "markdown"],
+    "application/json": ["json", "jsonc"],
+    "application/x-yaml": ["yaml", "yml"],
+    "application/xml": ["xml"],
+    "application/sql": ["sql"],
+    "text/x-terraform": ["tf", "tfvars"],
+    "application/toml": ["toml"],
+    "text/plain": ["ini", "cfg", "conf", "env", "txt"],
+    "text/x-rst": ["rst"],
+    "application/zip": ["zip"],
+    "application/x-tar": ["tar"],
+    "application/gzip": ["gz"],
+    "application/x-7z-compressed": ["7z"],
+    "application/vnd.microsoft.portable-executable": ["exe", "dll"],
+    "application/x-sharedlib": ["so"],
+    "application/x-archive": ["a"],
+    "application/x-object": ["o"],
+    "application/octet-stream": ["pyc"],
+    "application/java-vm": ["class"],
+    "image/png": ["png"],
+    "image/jpeg": ["jpg", "jpeg"],
+    "image/gif": ["gif"],
+    "image/x-icon": ["ico"],
+    "image/svg+xml": ["svg"],
+    "image/webp": ["webp"],
+}
 DEFAULT_MIME = "application/octet-stream"
 
 # Directories that a scan does not enter, extensions it does not read, and binary extensions.
-IGNORED_DIRECTORIES = (
-    ".git .github .gitlab .idea .vscode node_modules venv .venv dist build coverage .cache .next target __pycache__ bin obj vendor"
-).split()
-IGNORED_EXTENSIONS = "pyc class exe dll so o a png jpg jpeg gif ico zip tar gz 7z".split()
-BINARY_EXTENSIONS = (
-    "pyc class exe dll so o a zip tar gz 7z jar war ear whl egg pdf doc docx xls xlsx ppt pptx db sqlite sqlite3"
-    " png jpg jpeg gif ico bmp tiff webp mp3 mp4 avi mov mkv wav flac ogg woff woff2 ttf otf eot"
-).split()
+IGNORED_DIRECTORIES = [
+    ".git", ".github", ".gitlab", ".idea", ".vscode", "node_modules", "venv", ".venv", "dist", "build", "coverage", ".cache", ".next",
+    "target", "__pycache__", "bin", "obj", "vendor",
+]
+IGNORED_EXTENSIONS = [
+    "pyc", "class", "exe", "dll", "so", "o", "a", "png", "jpg", "jpeg", "gif", "ico", "zip", "tar", "gz", "7z",
+]
+BINARY_EXTENSIONS = [
+    "pyc", "class", "exe", "dll", "so", "o", "a", "zip", "tar", "gz", "7z", "jar", "war", "ear", "whl", "egg", "pdf", "doc", "docx", "xls",
+    "xlsx", "ppt", "pptx", "db", "sqlite", "sqlite3", "png", "jpg", "jpeg", "gif", "ico", "bmp", "tiff", "webp", "mp3", "mp4", "avi", "mov",
+    "mkv", "wav", "flac", "ogg", "woff", "woff2", "ttf", "otf", "eot",
+]
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 SNIFF_BYTES = 8192
 MAX_DEPTH = 50
 
 
-def _pairs(table: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for line in table.strip().splitlines():
-        value, _, keys = line.partition(": ")
-        out.update(dict.fromkeys(keys.split(), value))
-    return out
+def _pairs(table: dict[str, list[str]]) -> dict[str, str]:
+    """Extension to value."""
+    return {key: value for value, keys in table.items() for key in keys}
 
 
 def _lookup(key: Column, pairs: dict[str, str], default: str) -> Column:
@@ -176,3 +177,8 @@ def relative_time(at: Column, now: Column) -> Column:
 def sha256_of(content: Column, binary: Column) -> Column:
     """SHA-256 of text that is not empty; null otherwise."""
     return F.when(~binary & (F.octet_length(content) > 0), F.sha2(content, 256))
+
+
+def decoded(content: Column) -> Column:
+    """Text of the bytes of a file: UTF-8, or Latin-1 where they are none."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from codestrata.functions.files import slashed
 
 # Node label of each symbol type.
-NODE_LABELS = """
-class: Class
-function: Function
-method: Method
-constructor: Constructor
-variable: Variable
-constant: Constant
-enum: Enum
-interface: Interface
-struct: Struct
-module: Module
-package: Package
-route: ApiRoute
-decorator: Property
-annotation: Property
-"""
+NODE_LABELS = {
+    "class": "Class",
+    "function": "Function",
+    "method": "Method",
+    "constructor": "Constructor",
+    "variable": "Variable",
+    "constant": "Constant",
+    "enum": "Enum",
+    "interface": "Interface",
+    "struct": "Struct",
+    "module": "Module",
+    "package": "Package",
+    "route": "ApiRoute",
+    "decorator": "Property",
+    "annotation": "Property",
+}
 
 
 def strip(c: Column) -> Column:
@@ -98,5 +98,4 @@ def route_node_id(repository: Column, method: Column, path: Column) -> Column:
 
 
 def node_label(symbol_type: Column) -> Column:
-    pairs = [x.split(": ") for x in NODE_LABELS.strip().splitlines()]
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p in pairs for v in p]), symbol_type), F.lit("Variable"))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p in NODE_LABELS.items() for v in p]), symbol_type), F.lit("Variable"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,42 +18,58 @@ from codestrata.sources.scratch import Scratch
 _LISTED = "path string, is_dir boolean, size_bytes bigint, last_modified timestamp"
 
 
-def _list_children(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (a path, or a URI such as hdfs, s3 or gs), and the folder in it."""
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def _children_of(root: str):
     """Entries of each directory; ignored directories are not entered, symbolic links are skipped."""
-    ignored = set(X.IGNORED_DIRECTORIES)
-    for pdf in parts:
-        rows = []
-        for directory in pdf["path"]:
-            try:
-                entries = list(os.scandir(directory))
-            except OSError:
-                continue
-            for e in entries:
-                if e.is_symlink() or (e.is_dir() and e.name in ignored):
-                    continue
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ignored = set(X.IGNORED_DIRECTORIES)
+        system, _ = _file_system(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for pdf in parts:
+            rows = []
+            for directory in pdf["path"]:
                 try:
-                    info = e.stat(follow_symlinks=False)
-                    size, at = info.st_size, pd.Timestamp(info.st_mtime, unit="s")
+                    entries = system.get_file_info(fs.FileSelector(directory))
                 except OSError:
-                    size, at = None, None
-                rows.append((e.path, e.is_dir(), size, at))
-        out = pd.DataFrame(rows, columns=["path", "is_dir", "size_bytes", "last_modified"])
-        yield out.astype({"size_bytes": "Int64", "last_modified": "datetime64[us]"})
+                    continue
+                for e in entries:
+                    is_dir = e.type == fs.FileType.Directory
+                    if (is_dir and e.base_name in ignored) or (local and os.path.islink(e.path)):
+                        continue
+                    known = e.type in (fs.FileType.File, fs.FileType.Directory)
+                    at = pd.Timestamp(e.mtime_ns, unit="ns") if known and e.mtime_ns else None
+                    rows.append((e.path, is_dir, e.size if known else None, at))
+            out = pd.DataFrame(rows, columns=["path", "is_dir", "size_bytes", "last_modified"])
+            yield out.astype({"size_bytes": "Int64", "last_modified": "datetime64[us]"})
+
+    return run
+
 
+def _read_udf(root: str):
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        system, _ = _file_system(root)
+
+        def read(path: str | None) -> bytes | None:
+            try:
+                with system.open_input_stream(path) as f:
+                    return f.read()
+            except (OSError, TypeError):
+                return None
 
-def _read_bytes(paths: pd.Series) -> pd.Series:
-    def read(path: str | None) -> bytes | None:
-        try:
-            with open(path, "rb") as f:
-                return f.read()
-        except (OSError, TypeError):
-            return None
+        for paths in parts:
+            yield paths.map(read)
 
-    return paths.map(read)
+    return run
 
 
 def scan_tree(spark: SparkSession, root: str, repository_id: str, max_bytes: int = X.MAX_FILE_BYTES) -> DataFrame:
-    """One row per file below ``root`` (on a file system that all executors share), as :func:`file_rows` describes them.
+    """One row per file below ``root`` (a path or URI that all executors reach), as :func:`file_rows` describes them.
 
     Directories are listed level by level, each level spread over the executors.  Contents are read only
     for files of a readable size and extension; the status of all others follows from path and length.
@@ -60,21 +77,22 @@ def scan_tree(spark: SparkSession, root: str, repository_id: str, max_bytes: int
     """
     root = root.rstrip("/")
     scratch = Scratch(spark, "scan")
-    level = spark.createDataFrame([(root,)], "path string")
+    base = _file_system(root)[1]
+    level = spark.createDataFrame([(base,)], "path string")
     found = []
     for _ in range(X.MAX_DEPTH + 1):
         # a directory is little data and much waiting: one task for every few of them
-        listed = scratch.save(level.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_list_children, _LISTED))
+        listed = scratch.save(level.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_children_of(root), _LISTED))
         found.append(listed.where("not is_dir"))
         level = listed.where("is_dir").select("path")
         if level.isEmpty():
             break
     files = reduce(DataFrame.unionByName, found)
     clean = F.col("path")
-    read = F.pandas_udf(_read_bytes, "binary")
+    read = _read_udf(root)
     wanted = (F.col("size_bytes") <= max_bytes) & ~X.extension(X.file_name(clean)).isin(X.IGNORED_EXTENSIONS)
     rows = files.select(
-        F.lit(repository_id).alias("repository_id"), F.substring(clean, len(root) + 2, 1 << 20).alias("relative_path"),
+        F.lit(repository_id).alias("repository_id"), F.substring(clean, len(base) + 2, 1 << 20).alias("relative_path"),
         clean.alias("absolute_path"), read(F.when(wanted, clean)).alias("content"), "size_bytes", "last_modified",
     )
     return file_rows(rows, max_bytes)

@@ -83,6 +83,15 @@ def scan_texts(spark, sf_dir):
     return s.select("file_id", F.octet_length("source").cast("bigint").alias("size_bytes"), X.sha256_of(body, F.col("is_binary")).alias("sha256"), "is_binary")
 
 
+def decoded_texts(spark, sf_dir):
+    """Texts read back from bytes, Latin-1 where all characters are of that set and UTF-8 elsewhere, without being told which."""
+    s = read_table(spark, sf_dir, "source_files", "file_id", "source").where("source is not null")
+    narrow = F.col("source").rlike(r"^[\x00-\xff]*$")
+    body = F.when(narrow, F.encode("source", "ISO-8859-1")).otherwise(F.encode("source", "UTF-8"))
+    text = X.decoded(body)
+    return s.select("file_id", F.char_length(text).cast("bigint").alias("n_chars"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"))
+
+
 def dir_nodes(spark, sf_dir):
     return S.ancestor_directories(files(spark, sf_dir)).select("repository_id", "directory", "name", F.col("depth").cast("bigint").alias("depth"))
 
@@ -242,7 +251,7 @@ def upsert_files(spark, sf_dir):
     return upsert(old, new, ["id"]).select("id", "size_bytes", "scan_status")
 
 
-_NAMES = """lang_stats lang_top8 scan_summary scan_rows scan_rows_all scan_texts dir_nodes dir_tree files_parseable files_page file_counts human_sizes job_progress job_sums
+_NAMES = """lang_stats lang_top8 scan_summary scan_rows scan_rows_all scan_texts decoded_texts dir_nodes dir_tree files_parseable files_page file_counts human_sizes job_progress job_sums
 repositories_newest repositories_duplicates entries_filtered entries_by_filename search_prefix search_exact search_qualified children entry_counts
 entry_flags names_normalised modules modules_all dedup_documents dedup_stats upsert_batches index_functions parent_link upsert_files"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -261,11 +270,8 @@ _LANG = ",\nl AS (SELECT repository_id, language, count(*) AS file_count, CAST(c
 _DIRS = ",\np AS (SELECT repository_id, string_split(relative_path, '/') AS a{more} FROM f{where}),\nd AS (SELECT DISTINCT repository_id, array_to_string(a[1:k], '/') AS directory FROM (SELECT repository_id, a, unnest(range(1, len(a))) AS k FROM p))"
 
 
-def _case(table: str, key: str, default: str) -> str:
-    rows = []
-    for line in table.strip().splitlines():
-        value, _, keys = line.partition(": ")
-        rows.append(f"WHEN {key} IN ({', '.join(repr(k) for k in keys.split())}) THEN '{value}'")
+def _case(table: dict[str, list[str]], key: str, default: str) -> str:
+    rows = [f"WHEN {key} IN ({', '.join(repr(k) for k in keys)}) THEN '{value}'" for value, keys in table.items()]
     return "CASE " + " ".join(rows) + f" ELSE '{default}' END"
 
 
@@ -285,6 +291,7 @@ SQL = {
     "scan_summary": F_ + " SELECT repository_id, count(*) AS total_files, count(*) FILTER (scan_status = 'SCANNED') AS scanned_files, count(*) FILTER (scan_status = 'IGNORED') AS ignored_files, count(*) FILTER (scan_status = 'FAILED') AS failed_files, count(*) FILTER (scan_status = 'SCANNED' AND is_binary) AS binary_files, count(*) FILTER (is_hidden) AS hidden_files, CAST(coalesce(sum(size_bytes) FILTER (scan_status = 'SCANNED'), 0) AS BIGINT) AS total_bytes, count(DISTINCT language) FILTER (scan_status = 'SCANNED') AS n_languages FROM f GROUP BY 1",
     "scan_rows": F_ + f", n AS (SELECT id, string_split(relative_path, '/')[-1] AS name FROM f WHERE relative_path NOT LIKE '%\\%'), x AS (SELECT *, {_EXT} AS ext FROM n) SELECT id, name, ext, CASE WHEN lower(name) = 'dockerfile' OR lower(name) LIKE 'dockerfile.%' THEN 'Dockerfile' ELSE {_case(X.LANGUAGE_EXTENSIONS, 'ext', 'Unknown')} END AS language, {_case(X.MIME_EXTENSIONS, 'ext', X.DEFAULT_MIME)} AS mime_type, ext IN ({', '.join(repr(x) for x in X.IGNORED_EXTENSIONS)}) AS is_ignored FROM x",
     "scan_texts": "SELECT file_id, CAST(strlen(source) AS BIGINT) AS size_bytes, CASE WHEN strlen(source) > 0 THEN sha256(source) END AS sha256, false AS is_binary FROM source_files WHERE source IS NOT NULL",
+    "decoded_texts": "SELECT file_id, CAST(length(source) AS BIGINT) AS n_chars, md5(source) AS text_md5 FROM source_files WHERE source IS NOT NULL",
     "dir_nodes": F_ + _DIRS.format(more="", where="") + " SELECT repository_id, directory, string_split(directory, '/')[-1] AS name, len(string_split(directory, '/')) AS depth FROM d WHERE directory <> ''",
     "dir_tree": F_ + _DIRS.format(more="", where=" WHERE scan_status = 'SCANNED'") + " SELECT repository_id, regexp_extract(directory, '^(.*)/[^/]*$', 1) AS parent_path, directory AS path, string_split(directory, '/')[-1] AS name, false AS is_file, CAST(NULL AS VARCHAR) AS language, CAST(0 AS BIGINT) AS size_bytes FROM d WHERE directory <> '' UNION ALL SELECT repository_id, regexp_extract(relative_path, '^(.*)/[^/]*$', 1), relative_path, file_name, true, language, size_bytes FROM f WHERE scan_status = 'SCANNED'",
     "files_parseable": F_ + " SELECT id, repository_id, relative_path, language FROM f WHERE scan_status = 'SCANNED' AND language IN ('Python', 'JavaScript', 'TypeScript', 'Java', 'Go') AND NOT is_binary",
@@ -302,7 +309,7 @@ SQL = {
     "search_qualified": E_ + _SEARCH.format("lower(qualified_name) LIKE '%ledger%' AND symbol_type = 'method'"),
     "children": E_ + " SELECT p.name AS parent, c.name, c.id FROM e c JOIN e p ON c.parent_symbol_id = p.id",
     "entry_counts": E_ + " SELECT repository_id, language, symbol_type, count(*) AS n_entries FROM e GROUP BY 1, 2, 3",
-    "entry_flags": E_ + f" SELECT id, string_split(qualified_name, '.')[-1] AS short, {_DISPLAY} AS display, CASE WHEN qualified_name <> name AND ends_with(qualified_name, '.' || name) THEN substring(qualified_name, 1, length(qualified_name) - length(name) - 1) END AS module, {_PARENT} AS parent, visibility = 'public' AS is_exported, coalesce(documentation LIKE '%deprecated%' OR documentation LIKE '%DEPRECATED%' OR documentation LIKE '%@Deprecated%', false) AS is_deprecated, CAST(coalesce(length(substring(documentation, 1, 500)), 0) AS BIGINT) AS doc_chars, " + _case("\n".join(f"{b}: {a}" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())), "symbol_type", "Variable") + " AS label FROM e",
+    "entry_flags": E_ + f" SELECT id, string_split(qualified_name, '.')[-1] AS short, {_DISPLAY} AS display, CASE WHEN qualified_name <> name AND ends_with(qualified_name, '.' || name) THEN substring(qualified_name, 1, length(qualified_name) - length(name) - 1) END AS module, {_PARENT} AS parent, visibility = 'public' AS is_exported, coalesce(documentation LIKE '%deprecated%' OR documentation LIKE '%DEPRECATED%' OR documentation LIKE '%@Deprecated%', false) AS is_deprecated, CAST(coalesce(length(substring(documentation, 1, 500)), 0) AS BIGINT) AS doc_chars, " + _case({b: [a for a, c in N.NODE_LABELS.items() if c == b] for b in N.NODE_LABELS.values()}, "symbol_type", "Variable") + " AS label FROM e",
     "names_normalised": r"SELECT DISTINCT caller_name, regexp_replace(regexp_replace(regexp_replace(caller_name, '^\s+|\s+$', '', 'g'), '^\.+|\.+$', '', 'g'), '\.{2,}', '.', 'g') AS normal, regexp_matches(regexp_replace(caller_name, '^\s+|\s+$', '', 'g'), '^[\p{L}\p{N}_.\-/()*]+$') AS is_valid FROM calls WHERE caller_name IS NOT NULL",
     "modules": F_ + r", s AS (SELECT id, language, regexp_replace(relative_path, '([^/])\.[^./]*$', '\1') AS stem FROM f WHERE relative_path NOT LIKE '%\%' AND language IS NOT NULL) SELECT id, CASE WHEN lower(language) = 'go' THEN stem ELSE array_to_string(list_filter(string_split(stem, '/'), lambda p: p <> '' AND p <> '.'), '.') END AS module FROM s",
     "dedup_documents": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text",

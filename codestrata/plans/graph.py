@@ -33,6 +33,11 @@ def _nodes(spark, sf_dir) -> DataFrame:
     return B.merge_nodes(B.valid_nodes(reduce(DataFrame.unionByName, parts)))
 
 
+def _known(spark, sf_dir) -> DataFrame:
+    """Ids of all nodes, written once as both ends of the edges ask for them."""
+    return Scratch(spark, "nodes").save(_nodes(spark, sf_dir).select("node_id"))
+
+
 def _symbols(spark, sf_dir) -> DataFrame:
     return B.symbol_nodes(entries(spark, sf_dir), files(spark, sf_dir))
 
@@ -59,7 +64,16 @@ def call_edges(spark, sf_dir):
 
 def edges_valid(spark, sf_dir):
     """Stored edges that the validator keeps."""
-    return B.valid_edges(_edges(spark, sf_dir), _nodes(spark, sf_dir)).select("source_id", "target_id", "edge_type")
+    return B.valid_edges(_edges(spark, sf_dir), _known(spark, sf_dir)).select("source_id", "target_id", "edge_type")
+
+
+def graph_built(spark, sf_dir):
+    """The whole build: containment, definitions and resolved calls, merged and validated; edges per type."""
+    f, e = files(spark, sf_dir), entries(spark, sf_dir)
+    c = read_table(spark, sf_dir, "calls", "repository_id", "caller_name", "callee_name", "callee_object")
+    parts = [B.directory_edges(f, S.ancestor_directories(f)), B.containment_edges(B.symbol_nodes(e, f)), B.defines_edges(e), B.call_edges(c, e)]
+    built = B.valid_edges(B.merge_edges(reduce(DataFrame.unionByName, parts)), _known(spark, sf_dir))
+    return built.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 def neighbours_both(spark, sf_dir):
@@ -267,6 +281,19 @@ def parsed_documentation(spark, sf_dir):
     return d.select("file_id", "name", "start_line", D.documentation(F.col("doc"), F.col("language")).alias("documentation"))
 
 
+def parsed_summary(spark, sf_dir):
+    """Per source text: functions, types, variables, imports, calls and routes found in it."""
+    src = read_table(spark, sf_dir, "source_files")
+    d = _definitions(spark, sf_dir).select("file_id", "kind")
+    rows = [d, *[t.select("file_id", F.lit(k).alias("kind")) for k, t in (("import", D.imports(src)), ("call", D.calls(src)), ("route", D.routes(src)))]]
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    per = reduce(DataFrame.unionByName, rows).groupBy("file_id").agg(
+        *[n(k).alias(f"n_{k}s") for k in ("function", "variable", "import", "call", "route")], n("class").alias("n_classes")
+    )
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in per.columns if c != "file_id"]
+    return src.where("source is not null").select("file_id").join(per, "file_id", "left").select("file_id", *zero)
+
+
 def job_states(spark, sf_dir):
     """Every repository with its index state: jobs seen, entries stored, or NOT_STARTED."""
     r = repositories(spark, sf_dir).select(F.col("id").alias("repository_id"))
@@ -278,12 +305,12 @@ def job_states(spark, sf_dir):
     )
 
 
-_NAMES = """node_counts contains_edges defines_edges call_edges edges_valid neighbours_both call_graph unused unused_compat orphan_classes graph_counts
+_NAMES = """node_counts contains_edges defines_edges call_edges edges_valid graph_built neighbours_both call_graph unused unused_compat orphan_classes graph_counts
 k_hop_calls expand_inherits shortest_definition cycles_calls cycles_calls_6 has_cycle longest_chain induced_classes delete_incremental library_of_objects
-parsed_recorded parsed_import_names parsed_notes parsed_types parsed_variables parsed_documentation parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
+parsed_recorded parsed_summary parsed_import_names parsed_notes parsed_types parsed_variables parsed_documentation parsed_functions parsed_classes parsed_imports parsed_calls parsed_routes parsed_comments parsed_import_edges parsed_index parsed_inherit_edges job_states"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
-_LABEL = "CASE " + " ".join(f"WHEN symbol_type = '{a}' THEN '{b}'" for a, b in (x.split(": ") for x in N.NODE_LABELS.strip().splitlines())) + " ELSE 'Variable' END"
+_LABEL = "CASE " + " ".join(f"WHEN symbol_type = '{a}' THEN '{b}'" for a, b in N.NODE_LABELS.items()) + " ELSE 'Variable' END"
 _BASE = "WITH RECURSIVE " + ",\n".join(
     [
         current("repository_files", "f"), current("symbol_index_entries", "e"), current("repositories", "r"),
@@ -342,6 +369,29 @@ SELECT r.id AS repository_id, coalesce(nj.n, 0) AS n_jobs, coalesce(ne.n, 0) AS
 FROM r LEFT JOIN ne ON ne.repository_id = r.id LEFT JOIN nj ON nj.repository_id = r.id""",
     "library_of_objects": "SELECT DISTINCT callee_object, CASE WHEN callee_object LIKE '%/%' AND callee_object LIKE '%.%' THEN string_split(rtrim(callee_object, '/'), '/')[-1] ELSE regexp_extract(callee_object, '^[^./]*', 0) END AS library FROM calls WHERE callee_object IS NOT NULL",
 }
+_CORE = {k: SQL[k][len(_BASE):] for k in ("contains_edges", "defines_edges")}
+_CALLS = SQL["call_edges"][len(_BASE):].split("\nSELECT DISTINCT", 1)
+SQL["graph_built"] = _BASE + _CALLS[0] + f""", built AS ({_CORE["contains_edges"]} UNION {_CORE["defines_edges"]} UNION SELECT DISTINCT{_CALLS[1]})
+SELECT edge_type, count(*) AS n_edges FROM built WHERE (source_id <> target_id OR edge_type = 'CALLS') AND source_id IN (SELECT node_id FROM n) AND target_id IN (SELECT node_id FROM n) GROUP BY 1"""
+_PATHS = """, p AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM g WHERE edge_type IN ('CONTAINS', 'DEFINES')),
+w AS (SELECT DISTINCT a.source_id AS source, b.target_id AS target FROM g a JOIN g b ON a.edge_type = 'CONTAINS' AND b.edge_type = 'DEFINES' AND a.target_id = b.source_id),
+t AS (SELECT source, target, source AS node, source AS path, 0 AS hops FROM w
+  UNION ALL SELECT t.source, t.target, p.dst, t.path || ' > ' || p.dst, t.hops + 1 FROM t JOIN p ON t.node = p.src WHERE t.hops < 4 AND t.node <> t.target),
+h AS (SELECT source, target, hops, min(path) AS path, row_number() OVER (PARTITION BY source, target ORDER BY hops) AS k FROM t WHERE node = target GROUP BY 1, 2, 3)
+SELECT source, target, CAST(hops AS BIGINT) AS hops, path FROM h WHERE k = 1"""
+SQL["shortest_definition"] = _BASE + _PATHS
+_KINDS = {"CALLS": ["CALLS"], "DEFINES": ["DEFINES"], "INHERITS": ["INHERITS"], "DEPENDENCIES": _DEPENDENCIES}
+# what peeling leaves lies behind one cycle and before another, or on one
+SQL["has_cycle"] = _BASE + ", x AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{k}' AS edge_type, source_id AS s, target_id AS d FROM g WHERE edge_type IN ({', '.join(map(repr, v))})" for k, v in _KINDS.items()
+) + """), q AS (SELECT edge_type, s, d FROM x UNION SELECT q.edge_type, q.s, x.d FROM q JOIN x ON q.edge_type = x.edge_type AND q.d = x.s),
+c AS (SELECT edge_type, s AS n FROM q WHERE s = d),
+l AS (SELECT q.edge_type, q.d AS n FROM q JOIN c ON q.edge_type = c.edge_type AND q.s = c.n INTERSECT SELECT q.edge_type, q.s FROM q JOIN c ON q.edge_type = c.edge_type AND q.d = c.n)
+SELECT k.edge_type, count(l.n) AS n_left FROM (VALUES """ + ", ".join(f"('{k}')" for k in _KINDS) + ") k(edge_type) LEFT JOIN l ON l.edge_type = k.edge_type GROUP BY 1"
+SQL["longest_chain"] = _BASE + """, p AS (SELECT src, dst FROM inh WHERE src <> dst),
+t AS (SELECT DISTINCT src AS node, src AS path, 0 AS hops FROM p WHERE src NOT IN (SELECT dst FROM p)
+  UNION ALL SELECT p.dst, t.path || ' > ' || p.dst, t.hops + 1 FROM t JOIN p ON t.node = p.src WHERE t.hops < 20)
+SELECT CAST(hops AS BIGINT) AS hops, min(path) AS path FROM t WHERE hops = (SELECT max(hops) FROM t) GROUP BY 1"""
 SQL["parsed_recorded"] = """SELECT DISTINCT file_id, function_name, start_line, end_line, qualified_name, is_method, is_constructor, is_async, is_static,
 array_to_string(parameters, ',') AS parameters, array_to_string(decorators, ',') AS decorators, signature FROM function_definitions
 WHERE file_id IN (SELECT file_id FROM source_files WHERE source IS NOT NULL)"""

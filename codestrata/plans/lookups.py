@@ -12,7 +12,7 @@ from codestrata.operators import lookup as L
 from codestrata.operators import traverse as T
 from codestrata.operators.merge import keep_first, latest
 from codestrata.plans.catalog import current, entries, files, functions, jobs, repositories
-from codestrata.plans.graph import _BASE, _edges, _nodes, _symbols
+from codestrata.plans.graph import _BASE, _edges, _known, _nodes, _symbols
 from codestrata.sources.scratch import Scratch
 from codestrata.sources.tables import read_table
 
@@ -93,7 +93,7 @@ def dir_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that the validator drops, by type and reason."""
-    gone = B.dropped_edges(_edges(spark, sf_dir), _nodes(spark, sf_dir))
+    gone = B.dropped_edges(_edges(spark, sf_dir), _known(spark, sf_dir))
     return gone.groupBy("edge_type", "reason").agg(F.count(F.lit(1)).alias("n_edges"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from codestrata.operators.index import link_parents
+from codestrata.sources.records import read_records, replace_repositories
 
 
 def replace_files(table: DataFrame, fresh: DataFrame, file_ids: DataFrame) -> DataFrame:
@@ -53,3 +54,20 @@ def stream_reindex(
         reindex(entries, parse(batch), batch).write.mode("overwrite").parquet(f"{path}/v{number + 1}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_reindex_repositories(
+    changes: DataFrame, root: str, kind: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], spark: SparkSession
+) -> StreamingQuery:
+    """Apply a stream of changed sources (repository_id, file_id) to the record table ``{root}/{kind}`` in place.
+
+    Only the buckets of the repositories in a micro-batch are read and overwritten.  A batch that runs twice finds its
+    files replaced already and gives the same rows.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        touched = batch.select("repository_id").distinct()
+        before = read_records(spark, root, kind).join(touched, "repository_id", "left_semi")
+        replace_repositories(spark, root, kind, reindex(before, parse(batch), batch), touched)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

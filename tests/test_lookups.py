@@ -3,11 +3,15 @@
 import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from codestrata.functions.files import decoded
 from codestrata.operators import graph_build as B
 from codestrata.operators import lookup as L
 from codestrata.operators import traverse as T
 from codestrata.sources import records as R
 from codestrata.sources.scratch import Scratch, shared_folder
+from codestrata.streaming.incremental import stream_reindex_repositories
 
 
 def test_lookup(spark):
@@ -78,3 +82,29 @@ def test_record_tables(spark):
     assert sorted(r["x"] for r in R.read_records(spark, root, "functions").collect()) == [3, 4, 20, 21]
     R.replace_repositories(spark, root, "functions", fresh.limit(0), gone.limit(0), 4)
     assert R.read_records(spark, root, "functions").count() == 4
+
+
+def test_stream_replaces_the_files_of_touched_repositories(spark, tmp_path):
+    schema = "id string, repository_id string, file_id string, qualified_name string, parent_symbol_id string"
+    rows = [("1", "r", "f1", "K", None), ("2", "r", "f2", "K.m", "1"), ("3", "s", "f3", "X", None)]
+    root = str(tmp_path / "index")
+    R.save_records({"entries": spark.createDataFrame(rows, schema)}, root, R.BUCKETS)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"repository_id": "r", "file_id": "f1", "name": "L"}\n')
+    stream = spark.readStream.schema("repository_id string, file_id string, name string").json(str(tmp_path / "in"))
+
+    def parse(df):
+        return df.selectExpr("'9' as id", "repository_id", "file_id", "name as qualified_name", "cast(null as string) as parent_symbol_id")
+
+    for checkpoint in ("cp1", "cp2"):  # the same batch twice gives the same table
+        q = stream_reindex_repositories(stream, root, "entries", str(tmp_path / checkpoint), parse, spark)
+        q.awaitTermination(120)
+        got = {(r["id"], r["qualified_name"], r["parent_symbol_id"]) for r in R.read_records(spark, root, "entries").collect()}
+        assert got == {("9", "L", None), ("2", "K.m", None), ("3", "X", None)}
+
+
+def test_decoding(spark):
+    texts = [b"plain", "é漢".encode(), "caf\xe9".encode("latin-1"), b"", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, b binary")
+    got = [r["t"] for r in df.select("i", decoded(F.col("b")).alias("t")).orderBy("i").collect()]
+    assert got == ["plain", "é漢", "café", "", None]
