@@ -33,7 +33,7 @@ from codestrata.sources.scratch import Scratch
 MIN_CHARS = 400
 GRAM = 64
 #: Pieces per index shard; the distinct pieces of an anchor with more are cut into blocks, any two of which make a shard.
-SHARD_PIECES = 3000
+SHARD_PIECES = 2500
 #: Characters that the winnowing step holds at once.
 _CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
