@@ -392,6 +392,24 @@ SQL["longest_chain"] = _BASE + """, p AS (SELECT src, dst FROM inh WHERE src <>
 t AS (SELECT DISTINCT src AS node, src AS path, 0 AS hops FROM p WHERE src NOT IN (SELECT dst FROM p)
   UNION ALL SELECT p.dst, t.path || ' > ' || p.dst, t.hops + 1 FROM t JOIN p ON t.node = p.src WHERE t.hops < 20)
 SELECT CAST(hops AS BIGINT) AS hops, min(path) AS path FROM t WHERE hops = (SELECT max(hops) FROM t) GROUP BY 1"""
+_LINES = r"""WITH src AS (SELECT file_id, repository_id, relative_path, language, replace(replace(source, chr(65279), ''), chr(13) || chr(10), chr(10)) AS body FROM source_files WHERE source IS NOT NULL),
+ln AS (SELECT file_id, repository_id, relative_path, language, unnest(string_split(body, chr(10))) AS t, CAST(unnest(range(1, len(string_split(body, chr(10))) + 1)) AS INTEGER) AS start_line FROM src)"""
+# the imports and types of the given sources begin a line of their own, so that lines alone tell them
+SQL["parsed_imports"] = _LINES + r""", m AS (SELECT *, CASE
+  WHEN language = 'Python' THEN coalesce(nullif(regexp_extract(t, '^\s*from\s+(\S+)\s+import\b', 1), ''), nullif(regexp_extract(t, '^\s*import\s+([\w.]+)\s*$', 1), ''))
+  WHEN language IN ('JavaScript', 'TypeScript') THEN nullif(regexp_extract(t, '^\s*import\b[^''"]*[''"]([^''"]+)[''"]', 1), '')
+  WHEN language = 'Java' THEN nullif(regexp_extract(t, '^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;', 1), '')
+  WHEN language = 'Go' THEN nullif(regexp_extract(t, '^(?:import)?\s+(?:[\w.]+\s+)?"([^"]+)"\s*$', 1), '') END AS module_path FROM ln)
+SELECT file_id, repository_id, relative_path, language, module_path, module_path LIKE '.%' AS is_relative, start_line FROM m WHERE module_path IS NOT NULL"""
+SQL["parsed_classes"] = _LINES + r""", m AS (SELECT *, CASE
+  WHEN language = 'Python' THEN regexp_extract(t, '^\s*class\s+(\w+)', 1)
+  WHEN language = 'Go' THEN regexp_extract(t, '^type\s+(\w+)(?:\[[^\]]*\])?\s+(?:struct|interface)\b', 1)
+  WHEN language = 'Java' THEN regexp_extract(t, '^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(\w+)', 1)
+  ELSE regexp_extract(t, '^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+(\w+)', 1) END AS class_name,
+  CASE WHEN language = 'Python' THEN regexp_extract(t, '^\s*class\s+\w+\s*\(([^)]*)\)', 1) WHEN language <> 'Go' THEN regexp_extract(t, '\bextends\s+([\w.]+)', 1) ELSE '' END AS bases
+  FROM ln WHERE language IN ('Python', 'Go', 'Java', 'JavaScript', 'TypeScript'))
+SELECT file_id, repository_id, language, class_name, class_name AS qualified_name,
+  array_to_string([trim(b) FOR b IN string_split(bases, ',') IF trim(b) <> '' AND NOT contains(b, '=')], ',') AS base_classes, start_line FROM m WHERE class_name <> ''"""
 SQL["parsed_recorded"] = """SELECT DISTINCT file_id, function_name, start_line, end_line, qualified_name, is_method, is_constructor, is_async, is_static,
 array_to_string(parameters, ',') AS parameters, array_to_string(decorators, ',') AS decorators, signature FROM function_definitions
 WHERE file_id IN (SELECT file_id FROM source_files WHERE source IS NOT NULL)"""

@@ -13,6 +13,7 @@ from codestrata.operators import traverse as T
 from codestrata.operators.merge import keep_first, latest
 from codestrata.plans.catalog import current, entries, files, functions, jobs, repositories
 from codestrata.plans.graph import _BASE, _edges, _known, _nodes, _symbols
+from codestrata.sources import records as R
 from codestrata.sources.scratch import Scratch
 from codestrata.sources.tables import read_table
 
@@ -160,8 +161,23 @@ def upsert_files_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.upsert_keeping(old, new, key, ["id", "created_at"]).select("id", "relative_path", "size_bytes", F.unix_micros("created_at").alias("created_us"))
 
 
+def records_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and calls as record tables, after those of the repositories that could not be cloned were replaced by none."""
+    scratch = Scratch(spark, "record-tables")
+    kinds = {"functions": "function_definitions", "calls": "calls"}
+    gone = scratch.save(repositories(spark, sf_dir).where("clone_status = 'FAILED'").select(F.col("id").alias("repository_id")))
+    R.save_records({k: read_table(spark, sf_dir, t, "id", "repository_id", "file_id") for k, t in kinds.items()}, scratch.root)
+    out = None
+    for kind in kinds:
+        rows = R.read_records(spark, scratch.root, kind)
+        R.replace_repositories(spark, scratch.root, kind, rows.limit(0), gone)
+        per = R.read_records(spark, scratch.root, kind).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_records")).withColumn("kind", F.lit(kind))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
 _NAMES = """lookup_repositories lookup_files lookup_jobs lookup_entries lookup_nodes nodes_by_name classes_page functions_page neighbours_page dir_listing
-edges_dropped dependency_subgraph dependency_cycles trails_inherits node_properties parameters_json delete_failed upsert_files_kept"""
+edges_dropped dependency_subgraph dependency_cycles trails_inherits node_properties parameters_json delete_failed records_replaced upsert_files_kept"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _E = "WITH " + current("symbol_index_entries", "e")
@@ -227,6 +243,10 @@ SELECT node_id, md5(array_to_string(a, '|')) AS properties_md5, CAST(len(a) AS B
         f"SELECT repository_id, '{t}' AS table_name, count(*) AS n_left FROM {t} WHERE repository_id IS NULL OR repository_id NOT IN (SELECT id FROM x) GROUP BY 1"
         for t in ("repository_files", "source_files", "file_parse_jobs", "function_definitions", "symbol_index_entries", "calls", "graph_edges")
     ),
+    "records_replaced": "WITH " + current("repositories", "r") + ", x AS (SELECT id FROM r WHERE clone_status = 'FAILED') " + " UNION ALL ".join(
+        f"SELECT repository_id, '{k}' AS kind, count(*) AS n_records FROM {t} WHERE repository_id IS NULL OR repository_id NOT IN (SELECT id FROM x) GROUP BY 1"
+        for k, t in (("functions", "function_definitions"), ("calls", "calls"))
+    ),
     "upsert_files_kept": """WITH ranked AS (SELECT *, updated_at < TIMESTAMPTZ '2024-06-01 00:00:00+00' AS is_old FROM repository_files WHERE updated_at IS NOT NULL),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, relative_path, is_old ORDER BY updated_at DESC, id DESC NULLS LAST, size_bytes DESC NULLS LAST, created_at DESC NULLS LAST) AS k FROM ranked) WHERE k = 1),
 o AS (SELECT * FROM one WHERE is_old), n AS (SELECT * FROM one WHERE NOT is_old)
