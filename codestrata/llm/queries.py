@@ -59,6 +59,8 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Edits after which the search in a unit may end where only the flag of the file is asked for.
 FLAG_EDITS = 1
+#: Edits that p5_kinds counts exactly in a unit; without a bound the few foreign texts take most of the time.
+KIND_EDITS = 8
 
 
 def _broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +80,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact repair cost and kind of damage of every file with a text."""
+    """Repair cost (exact up to KIND_EDITS edits a unit) and kind of damage of every file with a text."""
     sources = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
-    return syntax_repairs(sources, Scratch(spark, "syntax"))
+    return syntax_repairs(sources, Scratch(spark, "syntax"), most=KIND_EDITS)
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
