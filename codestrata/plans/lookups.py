@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import graph_build as B
@@ -10,7 +10,7 @@ from codestrata.operators import graph_query as G
 from codestrata.operators import index as I
 from codestrata.operators import lookup as L
 from codestrata.operators import traverse as T
-from codestrata.operators.merge import keep_first, latest
+from codestrata.operators.merge import keep_first, latest, numbered
 from codestrata.plans.catalog import current, entries, files, functions, jobs, repositories
 from codestrata.plans.graph import _BASE, _edges, _known, _nodes, _symbols
 from codestrata.sources import records as R
@@ -88,8 +88,8 @@ def dir_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many names come before each file in the listing of its directory."""
     path = F.regexp_replace(F.col("relative_path"), r"\\", "/")
     f = files(spark, sf_dir).where("scan_status = 'SCANNED'").select("id", "repository_id", F.regexp_extract(path, r"^(.*/)?[^/]*$", 1).alias("directory"), F.regexp_extract(path, r"[^/]*$", 0).alias("name"))
-    w = Window.partitionBy("repository_id", "directory").orderBy("name", "id")
-    return f.select("id", "directory", "name", (F.row_number().over(w) - 1).cast("bigint").alias("n_before"))
+    f = f.withColumn("_scope", F.concat_ws(":", "repository_id", "directory")).withColumn("_order", F.concat("name", F.lit("\0"), "id"))
+    return numbered(f, "_scope", "_order", "n_before").select("id", "directory", "name", F.col("n_before").cast("bigint").alias("n_before"))
 
 
 def edges_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
