@@ -106,7 +106,10 @@ def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of an entry and one of its descendants, with their distance; entries on or below loops have none."""
-    tree = Scratch(spark, "tree").save(H.hierarchy(spark, _entries(spark, sf_dir), "id", "parent_symbol_id", "name"))
+    # paths are not asked for, and blank names keep them short
+    rows = _entries(spark, sf_dir).withColumn("name", F.lit(""))
+    tree = H.hierarchy(spark, rows, "id", "parent_symbol_id", "name").where("cycle_id is null")
+    tree = Scratch(spark, "tree").save(tree.select("entry_id", "root_id", "depth", "left", "right", "n_descendants"))
     return H.descendants(tree, tree.select("entry_id"))
 
 
