@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from codestrata.sources.scratch import Scratch
 
+#: Rounds that clear a graph of most dead ends before its cycles are searched.
+PEEL_ROUNDS = 3
+
 
 def reach(pairs: DataFrame, starts: DataFrame, max_depth: int, scratch: Scratch) -> DataFrame:
     """(start, node, depth) of the nodes within ``max_depth`` hops of each start, the start itself left out.
@@ -61,11 +64,11 @@ def shortest_paths(pairs: DataFrame, wanted: DataFrame, max_depth: int, scratch:
 def cycles(pairs: DataFrame, max_length: int, scratch: Scratch, separator: str = " > ") -> DataFrame:
     """(length, path) of the simple cycles of 2 to ``max_length`` edges, each once, from its least node on.
 
-    Edges that cannot lie on a cycle are peeled off first, so that no walk passes through a hub that leads nowhere.
+    Some rounds peel off edges that cannot lie on a cycle first, so that few walks pass through a hub that leads nowhere.
     A path only grows over nodes greater than its first, so that no rotation is made twice.
     """
     pairs = pairs.where("src <> dst").select("src", "dst").distinct()
-    inner = scratch.save(cyclic_nodes(pairs, scratch))
+    inner = scratch.save(cyclic_nodes(pairs, scratch, PEEL_ROUNDS))
     pairs = scratch.save(
         pairs.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     )
@@ -84,14 +87,17 @@ def cycles(pairs: DataFrame, max_length: int, scratch: Scratch, separator: str =
     return reduce(DataFrame.unionByName, found)
 
 
-def cyclic_nodes(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def cyclic_nodes(pairs: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """(node) of what remains when nodes without incoming or without outgoing edges are peeled off again and again.
 
-    Empty exactly if the graph has no cycle; otherwise the nodes on cycles and on paths between cycles.
+    Empty exactly if the graph has no cycle; otherwise the nodes on cycles and on paths between cycles.  After
+    ``rounds`` rounds, where given, some others may be left.
     """
     left = scratch.save(pairs.select("src", "dst").distinct())
     before = left.count()
-    while before:
+    done = 0
+    while before and done != rounds:
+        done += 1
         heads = left.select(F.col("dst").alias("src")).distinct()
         tails = left.select(F.col("src").alias("dst")).distinct()
         new = scratch.save(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))

@@ -20,17 +20,22 @@ _OUTLINE = (
 LANGUAGES = ["Python", "JavaScript", "TypeScript", "Java", "Go"]
 
 
+def _texts(sources: DataFrame) -> DataFrame:
+    """The texts to read; those of a table with fewer splits than cores are dealt out, as reading them is work for a core."""
+    rows = sources.where(F.col("language").isin(LANGUAGES) & F.col("source").isNotNull()).select("file_id", "repository_id", "relative_path", "language", "source")
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def definitions(sources: DataFrame) -> DataFrame:
     """(file_id, repository_id, relative_path, language, and the fields of an outline) of every declaration; null texts give none."""
     read = F.udf(outline, _OUTLINE, useArrow=True)
-    rows = sources.where(F.col("language").isin(LANGUAGES) & F.col("source").isNotNull())
-    return rows.select("file_id", "repository_id", "relative_path", "language", F.inline(read("source", "language")))
+    return _texts(sources).select("file_id", "repository_id", "relative_path", "language", F.inline(read("source", "language")))
 
 
 def _read(sources: DataFrame, helper, fields: str) -> DataFrame:
-    rows = sources.where(F.col("language").isin(LANGUAGES) & F.col("source").isNotNull())
     read = F.udf(helper, f"array<struct<{fields}>>", useArrow=True)
-    return rows.select("file_id", "repository_id", "relative_path", "language", F.inline(read("source", "language")))
+    return _texts(sources).select("file_id", "repository_id", "relative_path", "language", F.inline(read("source", "language")))
 
 
 def imports(sources: DataFrame) -> DataFrame:
