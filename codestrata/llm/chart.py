@@ -4,10 +4,22 @@ An Earley chart whose items carry the least number of edits so far.  Besides the
 a token may be left out, an expected token put in, or one taken for another, for one edit each.
 Items are worked off best first: by their own edits and the fewest that the tokens before and
 behind them need, which the runs of tokens that occur in no sentence bound from below.
+That is fast in long sequences with few edits.  In short ones, and where the search goes on, as in text of another language,
+the whole chart is filled instead, shortest parts first and many parts at a time; both give the least number of edits.
 """
 
 from __future__ import annotations
 
+import numpy as np
+
+#: Up to so many tokens the whole chart is filled before the search would have begun.
+SHORT = 40
+
+
+def _items_worth(n: int) -> int:
+    """Items that the search works off in a fraction of the time in which the chart of ``n`` tokens is filled."""
+    return 20 * n + n**3 // 512
+
 
 class ChartGrammar:
     """Productions ``Name -> a B | c``; names that are defined are nonterminals, all else terminals."""
@@ -27,6 +39,8 @@ class ChartGrammar:
             rules.extend((head.strip(), tuple(a)) for a in alternatives)
         names = {h for h, _ in rules}
         self.start = {n: i for i, n in enumerate(sorted(names))}
+        self.rules = [(self.start[h], tuple(self.start[s] if s in names else s for s in body)) for h, body in rules]
+        self.filler: _Filler | None = None
         # items are numbered: one per dot position of each rule
         self.next: list[object] = []  # terminal (str), nonterminal (int) or None at the end
         self.head: list[int] = []
@@ -195,10 +209,34 @@ class ChartGrammar:
         return ahead, behind
 
     def repair(self, tokens: list[str], start: str, most: int | None = None) -> int:
-        """Least number of edits that make the tokens a ``start``; with ``most``, ``most + 1`` where more are needed."""
-        n = len(tokens)
+        """Least number of edits that make the tokens a ``start``; with ``most``, ``most + 1`` where more are needed.
+
+        ``start`` may name alternatives, as in ``A|B``, of which the cheapest counts.
+        """
         if most is not None and self.damaged_runs(tokens, most + 1) > most:
             return most + 1
+        starts = start.split("|")
+        cost = None
+        if len(tokens) > SHORT:
+            bound = most
+            for s in starts:
+                cost = self._best_first(tokens, s, bound, _items_worth(len(tokens)))
+                if cost is None:
+                    break
+                bound = cost - 1
+        if cost is None:
+            cost = self.fill(tokens, starts)
+        return cost if most is None else min(cost, most + 1)
+
+    def fill(self, tokens: list[str], starts: list[str]) -> int:
+        """Least number of edits that make the tokens one of ``starts``, from the whole chart."""
+        if self.filler is None:
+            self.filler = _Filler(self.rules, len(self.start))
+        return self.filler.edits(tokens, [self.start[s] for s in starts])
+
+    def _best_first(self, tokens: list[str], start: str, most: int | None = None, items: int | None = None) -> int | None:
+        """As :meth:`repair`; None once more than ``items`` items have been worked off."""
+        n = len(tokens)
         nxt, head, by_head = self.next, self.head, self.by_head
         goal = self.start[start]
         ahead, behind = self._bounds(tokens)
@@ -226,6 +264,10 @@ class ChartGrammar:
                 at, cost, item, origin = todo.pop()
                 if best[at][(item, origin)] != cost:
                     continue
+                if items is not None:
+                    items -= 1
+                    if items < 0:
+                        return None
                 s = nxt[item]
                 if s is None:
                     h = head[item]
@@ -254,3 +296,126 @@ class ChartGrammar:
                     put(at, item + 1, origin, cost + 1)
             level += 1
         return found
+
+
+class _Filler:
+    """The whole chart at once: least edits of every part of the tokens as every symbol and every beginning of a rule.
+
+    A row stands for a symbol or for the beginning of a rule, a diagonal for all parts of one length.  Tokens are left
+    out before a token that is kept, or behind the last one.  What only puts tokens in leaves a part as it is; for that the
+    distances between the symbols are worked out once for the grammar.
+    """
+
+    def __init__(self, rules: list[tuple[int, tuple]], n_symbols: int):
+        self.n_symbols = n_symbols
+        begun = {body[:k] for _, body in rules for k in range(1, len(body) + 1)}
+        begun = sorted((b for b in begun if len(b) > 1 or isinstance(b[0], str)), key=lambda b: (len(b), repr(b)))
+        row: dict[tuple, int] = {(a,): a for a in range(n_symbols)}
+        row.update({b: n_symbols + i for i, b in enumerate(begun)})
+        row[()] = self.n_rows = n_symbols + len(begun)  # the empty beginning comes last
+        lengths = [len(b) for b in begun]
+        self.levels = [(n_symbols + lengths.index(v), n_symbols + lengths.index(v) + lengths.count(v)) for v in sorted(set(lengths)) if v > 1]
+        # of each beginning: the row without its last symbol, and the row of that symbol (of the empty beginning for a token)
+        self.before, self.last = np.full(self.n_rows, self.n_rows), np.full(self.n_rows, self.n_rows)
+        for b in begun:
+            self.before[row[b]] = row[b[:-1]]
+            if isinstance(b[-1], int):
+                self.last[row[b]] = b[-1]
+        inner = [b for b in begun if isinstance(b[-1], int)]
+        self.inner = np.array([row[b] for b in inner], dtype=np.intp)
+        ends = [b for b in begun if isinstance(b[-1], str)]
+        self.ends = np.array([row[b] for b in ends], dtype=np.intp)
+        codes = {t: i for i, t in enumerate(sorted({b[-1] for b in ends}))}
+        self.codes, self.end_codes = codes, np.array([codes[b[-1]] for b in ends])
+        whole = sorted({(h, row[body]) for h, body in rules if body and row[body] >= n_symbols})
+        self.whole = np.array([r for _, r in whole], dtype=np.intp)
+        heads = [h for h, _ in whole]
+        self.heads = np.array(sorted(set(heads)), dtype=np.intp)
+        self.head_starts = np.array([heads.index(h) for h in self.heads])
+        # least tokens to put in for each row
+        far = self.far = 1 << 14
+        self.added = np.full(self.n_rows + 1, far)
+        self.added[self.n_rows] = 0
+        changed = True
+        while changed:
+            old = self.added.copy()
+            for b in begun:
+                self.added[row[b]] = self.added[row[b[:-1]]] + (self.added[b[-1]] if isinstance(b[-1], int) else 1)
+            for h, body in rules:
+                self.added[h] = min(self.added[h], self.added[row[body]])
+            self.added = np.minimum(self.added, far)
+            changed = bool((old != self.added).any())
+        self.more = np.where(self.last < n_symbols, self.added[np.minimum(self.last, self.n_rows)], 1)
+        # least tokens to put in around a part that is a symbol, to make it another row
+        around = np.full((self.n_rows + 1, n_symbols), far)
+        around[np.arange(n_symbols), np.arange(n_symbols)] = 0
+        changed = True
+        while changed:
+            old = around.copy()
+            for lo, hi in self.levels:
+                q, x = self.before[lo:hi], self.last[lo:hi]
+                around[lo:hi] = np.minimum(around[q] + self.more[lo:hi, None], around[x] + self.added[q][:, None])
+            for h, body in rules:
+                np.minimum(around[h], around[row[body]], out=around[h])
+            np.minimum(around, far, out=around)
+            changed = bool((old != around).any())
+        self.around = around[:n_symbols]
+        # the beginnings 1, 2, 4, ... symbols shorter and the tokens to put in from there; without any, the empty beginning
+        step, put_in = np.append(self.before, self.n_rows), np.append(self.more, 0)
+        step[:n_symbols], put_in[:n_symbols] = self.n_rows, 0
+        self.jumps = []
+        for _ in range(max(len(body) for _, body in rules).bit_length()):
+            self.jumps.append((step, np.minimum(put_in, far)))
+            step, put_in = step[step], put_in + put_in[step]
+        self.of_kind: dict[int, tuple] = {}
+
+    def edits(self, tokens: list[str], goals: list[int]) -> int:
+        """Least number of edits that make the tokens one of the goals."""
+        n, m = len(tokens), self.n_symbols
+        known = self.added[self.added < self.far].max()
+        # sums of two must fit, and nothing that can be reached may look as far as what cannot
+        kind, far = next((k, f) for k, f in ((np.uint8, 127), (np.uint16, self.far), (np.uint32, 1 << 30)) if n + known < f)
+        if far not in self.of_kind:
+            tables = (self.added, self.around[:, self.heads], self.added[self.before], *(w for _, w in self.jumps))
+            self.of_kind[far] = tuple(np.minimum(a, far).astype(kind)[..., None] for a in tables)
+        added, around, added_before, *put_in = self.of_kind[far]
+        jumps = [(step, w) for (step, _), w in zip(self.jumps, put_in)]
+
+        def grow(cost: np.ndarray) -> None:
+            for step, w in jumps:
+                longer = cost.take(step, axis=0)
+                longer += w
+                np.minimum(cost, longer, out=cost)
+
+        text = np.array([self.codes.get(t, -1) for t in tokens])
+        other = (self.end_codes[:, None] != text[None, :]).astype(kind)
+        before_end, before_inner, last_inner = self.before[self.ends], self.before[self.inner], self.last[self.inner]
+        best = [int(self.added[g]) + n for g in goals]
+        left: list[np.ndarray] = []  # by length: the beginnings that a symbol follows
+        right: list[np.ndarray] = []  # by length: the symbols
+        skipped = np.repeat(added, n + 1, axis=1)  # the rows with tokens left out behind them, of the length before
+        for length in range(1, n + 1):
+            width = n - length + 1
+            cost = np.full((self.n_rows + 1, width), far, dtype=kind)
+            cost[self.ends] = skipped[:, :width].take(before_end, axis=0) + other[:, length - 1 :]
+            if length > 1:
+                joined = np.full((len(self.inner), width), far, dtype=kind)
+                for k in range(1, length):
+                    both = right[length - k - 1][:, k : k + width].take(last_inner, axis=0)
+                    both += left[k - 1][:, :width]
+                    np.minimum(joined, both, out=joined)
+                cost[self.inner] = joined
+            grow(cost)
+            if len(self.whole):
+                own = np.minimum.reduceat(cost.take(self.whole, axis=0), self.head_starts, axis=0)
+                np.minimum((own[None, :, :] + around).min(axis=1), far, out=cost[:m])
+            last = cost.take(self.last, axis=0)
+            last += added_before
+            np.minimum(cost[: self.n_rows], last, out=cost[: self.n_rows])
+            grow(cost)
+            np.minimum(cost, far, out=cost)
+            left.append(cost.take(before_inner, axis=0))
+            right.append(cost[:m].copy())
+            skipped = np.minimum(cost, skipped[:, :width] + kind(1))
+            best.extend(int(cost[g, 0]) + n - length for g in goals)
+        return min(best)

@@ -57,19 +57,13 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("repository_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-#: Edits after which the search in a unit may end where only the flag of the file is asked for.
-FLAG_EDITS = 1
-#: Edits that p5_kinds counts exactly in a unit; without a bound the few foreign texts take most of the time.
-KIND_EDITS = 8
-
-
 def _broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, broken, kind) of the files with a text at hand or else a job."""
+    """(file_id, broken, kind, edits) of the files with a text at hand or else a job, which has no edits."""
     sources = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
-    parsed = syntax_repairs(sources, Scratch(spark, "syntax"), most=FLAG_EDITS).select("file_id", (F.col("edits") > 0).alias("broken"), "kind")
+    parsed = syntax_repairs(sources, Scratch(spark, "syntax")).select("file_id", (F.col("edits") > 0).alias("broken"), "kind", "edits")
     jobs = latest(read_table(spark, sf_dir, "file_parse_jobs", "file_id", "error_message", "updated_at"), ["file_id"])
     reported = jobs.join(sources.select("file_id"), "file_id", "left_anti").select(
-        "file_id", reports_bad_content(F.col("error_message")).alias("broken"), F.lit("reported").alias("kind")
+        "file_id", reports_bad_content(F.col("error_message")).alias("broken"), F.lit("reported").alias("kind"), F.lit(None).cast("bigint").alias("edits")
     )
     return parsed.unionByName(reported)
 
@@ -80,9 +74,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repair cost (exact up to KIND_EDITS edits a unit) and kind of damage of every file with a text."""
+    """Least repair cost and kind of damage of every file with a text."""
     sources = read_table(spark, sf_dir, "source_files", "file_id", "relative_path", "source")
-    return syntax_repairs(sources, Scratch(spark, "syntax"), most=KIND_EDITS)
+    return syntax_repairs(sources, Scratch(spark, "syntax"))
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -625,10 +625,7 @@ def unit_edits(lang: str, start: str, tokens: str, most: int | None = None) -> i
     starts = [s for s in start.split("|") if s in g.start] or ["L"]
     if any(g.error_at(toks, s) is None for s in starts):
         return 0
-    for s in starts:
-        cost = g.repair(toks, s, most)
-        most = cost - 1
-    return max(1, most + 1)
+    return max(1, g.repair(toks, "|".join(starts), most))
 
 
 _UNIT_COLUMNS = "file_id string, lang string, what string, start string, tokens string, n int, at int"
@@ -672,15 +669,15 @@ def source_units(sources: DataFrame, file_id: str = "file_id", path: str = "rela
     return wanted.mapInPandas(run, _UNIT_COLUMNS)
 
 
-def parse_units(units: DataFrame, most: int | None = None) -> DataFrame:
-    """(lang, start, tokens, edits) of the distinct units that do not parse; each is parsed once, up to ``most`` edits where that is given."""
+def parse_units(units: DataFrame) -> DataFrame:
+    """(lang, start, tokens, edits) of the distinct units that do not parse; each is parsed and repaired once."""
     distinct = units.where("what = 'unit'").select("lang", "start", "tokens").distinct()
     # few bytes but much work a row: an explicit number keeps the units spread over all cores
     distinct = distinct.repartition(4 * units.sparkSession.sparkContext.defaultParallelism)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            edits = [unit_edits(*u, most) for u in zip(pdf["lang"], pdf["start"], pdf["tokens"])]
+            edits = [unit_edits(*u) for u in zip(pdf["lang"], pdf["start"], pdf["tokens"])]
             yield pdf.assign(edits=edits)
 
     return distinct.mapInPandas(run, "lang string, start string, tokens string, edits int").where("edits > 0")
@@ -691,17 +688,16 @@ _IN_UNITS = ("string", "bracket", "end")
 
 
 def syntax_repairs(
-    sources: DataFrame, scratch: Scratch, file_id: str = "file_id", path: str = "relative_path", source: str = "source", most: int | None = None
+    sources: DataFrame, scratch: Scratch, file_id: str = "file_id", path: str = "relative_path", source: str = "source"
 ) -> DataFrame:
     """(file_id, lang, edits, kind) per file of a supported language.
 
-    ``edits`` is the least repair cost, 0 for a file that parses.  Where only the flag is wanted, ``most`` ends the
-    search in a unit after so many edits, and a unit that needs more counts as ``most + 1``.  ``kind`` is null without edits, else ``conflict`` (stray conflict markers),
+    ``edits`` is the least repair cost, 0 for a file that parses.  ``kind`` is null without edits, else ``conflict`` (stray conflict markers),
     ``mismatch`` (the file's units mostly do not parse), ``truncation`` (something is open at the end and
     nothing but the last units is damaged) or ``local``.  An empty text parses except in Go.
     """
     units = scratch.save(source_units(sources, file_id, path, source))
-    bad = scratch.save(parse_units(units, most))
+    bad = scratch.save(parse_units(units))
     structural = units.where("what not in ('unit', 'file')").select("file_id", F.col("what"), "at", (~F.col("what").isin(*_IN_UNITS)).cast("int").alias("edits"))
     broken = units.where("what = 'unit'").join(bad, ["lang", "start", "tokens"]).select(
         "file_id", F.lit("unit").alias("what"), "at", (F.col("edits") * F.col("n")).alias("edits")

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from codestrata.llm.chart import ChartGrammar
-from codestrata.llm.syntax import shape, syntax_repairs, unit_edits
+from codestrata.llm.syntax import _GRAMMARS, shape, syntax_repairs, unit_edits
 from codestrata.sources.scratch import Scratch
 
 
@@ -242,3 +242,33 @@ def test_damage_is_repaired_in_place(lang, text, cost):
     units = sum(n * unit_edits(lang, *k) for k, (n, _) in s.units.items())
     assert units <= cost and units > 0
     assert not [w for w, _ in s.edits if w not in ("string", "bracket", "end")]
+
+
+def test_whole_chart_equals_brute_force_and_search():
+    # "O" can be empty, "A" is left-recursive and "X" a chain that tokens put in lead around
+    g = ChartGrammar("S -> A ; | X | O\nA -> A , T | T\nT -> n O | ( A )\nO -> O ! |\nX -> Y\nY -> if S else Y | n")
+    known = {h: set() for h in g.start}
+    rules = [(sorted(g.start)[h], [sorted(g.start)[s] if isinstance(s, int) else s for s in body]) for h, body in g.rules]
+    for _ in range(9):  # all sentences of up to eight tokens
+        for head, body in rules:
+            made = {()}
+            for s in body:
+                made = {x + y for x in made for y in (known[s] if s in known else {(s,)}) if len(x) + len(y) <= 8}
+            known[head] = known[head] | made
+    rng = random.Random(4)
+    for _ in range(80):
+        tokens = [rng.choice("n , ( ) ; ! if else ?".split()) for _ in range(rng.randrange(5))]
+        for starts in (["S"], ["A"], ["A", "X"]):
+            want = min(_distance(tokens, x) for s in starts for x in known[s])
+            assert g.fill(tokens, starts) == g.repair(tokens, "|".join(starts)) == min(g._best_first(tokens, s) for s in starts) == want
+    for n in (50, 130):  # beyond the lengths that are always filled, and beyond what fits the smallest numbers
+        tokens = ["n", ","] * (n // 2) + ["?", "n", ";"]
+        assert g.fill(tokens, ["S"]) == g.repair(tokens, "S") == 1
+        assert g._best_first(tokens, "S", None, 10) is None
+
+
+@pytest.mark.parametrize("lang, start, tokens", [("java", "Mem", "n " * 20), ("py", "S", "n " * 24), ("js", "L|S", "n , " * 3 + "< n n " * 3), ("go", "Top", "o n n 0 " * 4), ("ts", "It|S", ": n < " * 4)])
+def test_chart_and_search_agree_on_foreign_text(lang, start, tokens):
+    want = unit_edits(lang, start, tokens)
+    grammar = _GRAMMARS[lang]
+    assert want == min(grammar._best_first(tokens.split(), s) for s in start.split("|") if s in grammar.start)
